@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.llm import approximate_neighbours
 from quarry.llm.common import documents
 from quarry.llm.document_fingerprints import edited_fingerprints
+from quarry.llm.secret_scans import digest, find_secrets
 from quarry.llm.token_counts import token_counts
 
 
@@ -17,6 +19,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(find_secrets(documents(spark, sf_dir)))
+
+
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(documents(spark, sf_dir))
 
@@ -25,10 +31,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op10_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    indexed = approximate_neighbours.index(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return approximate_neighbours.nearest(indexed, indexed.where("vec_id % 50 = 0"), 5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda kf: int(kf[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_approximate_neighbours": approximate_neighbours.ORACLE}
