@@ -187,9 +187,11 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.nd
     is_short = np.zeros(n, bool)
     is_short[short] = True
     out[np.repeat(~is_short, sizes)] = mix(parts[keep])
-    for d in short:
-        w = h[first[d] : first[d + 1]]
-        out[bounds[d]] = mix((w * _MULTIPLIERS[: len(w)]).sum(dtype=np.uint64) + _U(len(w)) * _MULTIPLIERS[15])[()] if len(w) else 0
+    few = np.zeros(len(short), np.uint64)
+    for i in range(min(k - 1, len(_MULTIPLIERS))):
+        has = count[short] > i
+        few[has] += h[first[short[has]] + i] * _MULTIPLIERS[i]
+    out[bounds[short]] = mix(few + count[short].astype(np.uint64) * _MULTIPLIERS[15])
     for d in np.flatnonzero(sizes > 1):
         out[bounds[d] : bounds[d + 1]].sort()
     new = np.ones(len(out), bool)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import approximate_neighbours
+from quarry.llm import approximate_neighbours, jaccard_join
 from quarry.llm.common import documents
 from quarry.llm.document_fingerprints import edited_fingerprints
 from quarry.llm.secret_scans import digest, find_secrets
@@ -23,6 +23,10 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_secrets(documents(spark, sf_dir)))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(documents(spark, sf_dir))
+
+
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(documents(spark, sf_dir))
 
@@ -42,4 +46,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_approximate_neighbours": approximate_neighbours.ORACLE}
+    return {"op6_jaccard_join": jaccard_join.ORACLE, "op10_approximate_neighbours": approximate_neighbours.ORACLE}
