@@ -23,7 +23,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one kernel call works on.
@@ -204,3 +204,28 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.nd
 def require(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone, so that further columns can't clash with an operator's own."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+# --- labelled rows ------------------------------------------------------------
+
+
+def held_out(id_col: str = "doc_id") -> Column:
+    """True for rows kept out of learning: crc32 of the id as text is divisible by 5 (false for null ids)."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(text, y) of a bounded sample of labelled rows that are not held out.
+
+    For each value of the label, the most[value] rows whose hashed ids are least; of
+    several labels of one id the least counts; rows without a usable label,
+    id or text are not taken.
+    """
+    one = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(*most))
+    one = one.where(~held_out("id")).groupBy("id").agg(F.min("y").alias("y"))
+    parts = [one.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in most.items()]
+    chosen = parts[0]
+    for p in parts[1:]:
+        chosen = chosen.unionByName(p)
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")).where(F.col("text").isNotNull())
+    return rows.join(F.broadcast(chosen), "id").select("text", "y", "id").limit(2 * sum(most.values()))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import approximate_neighbours, jaccard_join
+from quarry.llm import approximate_neighbours, jaccard_join, quality_classifier, toxicity
 from quarry.llm.common import documents
 from quarry.llm.document_fingerprints import edited_fingerprints
 from quarry.llm.secret_scans import digest, find_secrets
@@ -19,6 +19,15 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, labels(spark, sf_dir)))
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_secrets(documents(spark, sf_dir)))
 
@@ -35,6 +44,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality_classifier.score(docs, quality_classifier.fit(docs, labels(spark, sf_dir)))
+
+
 def op10_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     indexed = approximate_neighbours.index(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return approximate_neighbours.nearest(indexed, indexed.where("vec_id % 50 = 0"), 5)
