@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import approximate_neighbours, jaccard_join, quality_classifier, toxicity
+from quarry.llm import approximate_neighbours, jaccard_join, packing, piece_encoding, quality_classifier, toxicity
 from quarry.llm.common import documents
 from quarry.llm.document_fingerprints import edited_fingerprints
 from quarry.llm.secret_scans import digest, find_secrets
@@ -19,6 +19,15 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = piece_encoding.vocabulary(vocabulary("piece_bpe_32k.model"))
+    return piece_encoding.encode_digest(documents(spark, sf_dir), pieces)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.words(documents(spark, sf_dir)))
+
+
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
@@ -60,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_jaccard_join": jaccard_join.ORACLE, "op10_approximate_neighbours": approximate_neighbours.ORACLE}
+    return {"op3_packing": packing.oracle(), "op6_jaccard_join": jaccard_join.ORACLE, "op10_approximate_neighbours": approximate_neighbours.ORACLE}
