@@ -137,15 +137,15 @@ def score(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_
     sent = ship(docs.sparkSession).sparkContext.broadcast(model)
     keep = keep or []
     names = [id_col, *[c for c in keep if c != id_col]]
-    plain = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("__text"))
+    plain = docs.select(*[F.col(f"`{c}`") for c in names], *([] if text in names else [F.col(f"`{text}`")]))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:
-            for i, j, data, off in text_slices(b, "__text"):
+            for i, j, data, off in text_slices(b, text):
                 s = m.score(term_counts(data, off))
-                yield pa.RecordBatch.from_arrays([*[c[i:j] for c in b.columns[:-1]], pa.array(s.astype(np.float64))], names=[*names, "__score"])
+                yield pa.RecordBatch.from_arrays([*[c[i:j] for c in b.columns[: len(names)]], pa.array(s.astype(np.float64))], names=[*names, "__score"])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema[:-1])
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema[: len(names)])
     out = plain.mapInArrow(scored, f"{ddl}, __score double")
     return out.select(id_col, held_out(id_col).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"), *[c for c in names if c != id_col])

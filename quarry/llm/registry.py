@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import approximate_neighbours, jaccard_join, packing, piece_encoding, quality_classifier, toxicity
+from quarry.llm import approximate_neighbours, jaccard_join, packing, piece_encoding, quality_classifier, tool_calls, toxicity
 from quarry.llm.common import documents
 from quarry.llm.document_fingerprints import edited_fingerprints
 from quarry.llm.secret_scans import digest, find_secrets
@@ -24,6 +24,10 @@ def op1_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_encoding.encode_digest(documents(spark, sf_dir), pieces)
 
 
+def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.conversation_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.words(documents(spark, sf_dir)))
 
@@ -69,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_packing": packing.oracle(), "op6_jaccard_join": jaccard_join.ORACLE, "op10_approximate_neighbours": approximate_neighbours.ORACLE}
+    return {"op2_tool_calls": tool_calls.ORACLE, "op3_packing": packing.oracle(), "op6_jaccard_join": jaccard_join.ORACLE, "op10_approximate_neighbours": approximate_neighbours.ORACLE}
