@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.plans.shipping import ship
+
 MODEL_FORMAT, MODEL_FORMAT_VERSION = "quarry.model", 1
 MAX_ROWS = 200_000
 
@@ -209,6 +211,7 @@ def gather(df: DataFrame, columns: list[str], max_rows: int = MAX_ROWS, order: s
 
 def score_column(df: DataFrame, features: list[str], fn: Callable[[np.ndarray], np.ndarray], name: str, kind: str = "double") -> DataFrame:
     """df with fn of the feature matrix as a column, computed on Arrow batches by the executors."""
+    ship(df.sparkSession)
     many = kind.startswith("array")
 
     @F.pandas_udf(kind)

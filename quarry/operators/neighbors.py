@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quarry.functions.distances import pairwise
 from quarry.operators.base import BaseEstimator, Classifier, Clusterer, OutlierDetector, Regressor, classes_of
 from quarry.plans.aggregate import class_moments
+from quarry.plans.shipping import ship
 
 BLOCK, CHUNK = 8192, 4096
 
@@ -27,6 +28,7 @@ def _vectors(df: DataFrame, row: str, features: list[str], extra: list[str]) ->
 def neighbour_pairs(queries: DataFrame, base: DataFrame, features: list[str], row: str = "row_id", k: int | None = None, radius: float | None = None, metric: str = "euclidean", p: float = 2, skip_self: bool = False, extra: list[str] | None = None) -> DataFrame:
     """(query, neighbour, d, *extra of the neighbour): the k nearest by (distance, row), or all within the radius."""
     extra = extra or []
+    ship(queries.sparkSession)
     n, m = base.count(), queries.count()
     rows, cols = -(-n // BLOCK) or 1, -(-m // CHUNK) or 1
     left = _vectors(queries, row, features, []).select("row", "v", F.pmod(F.xxhash64("row"), F.lit(cols)).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("b"))
@@ -322,6 +324,7 @@ class KernelDensity(BaseEstimator):
     def score_samples(self, df, output="log_density"):
         import math
 
+        ship(df.sparkSession)
         h, shape = self.bandwidth, self._shape
         rows, cols = -(-self.n_ // BLOCK) or 1, -(-df.count() // CHUNK) or 1
         left = _vectors(df, self.row_, self.features_, []).select("row", "v", F.pmod(F.xxhash64("row"), F.lit(cols)).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("b"))

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.operators.base import BaseEstimator
+from quarry.plans.shipping import ship
 
 #: Words of at least two letters, digits or underscores (a fixed pattern).
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -142,6 +143,7 @@ def murmur3(column) -> Column:
 
 def hashed_rows(long: DataFrame, n_features: int, alternate_sign: bool = True) -> DataFrame:
     """(row, term, value) to (row, index, value): index = |hash| mod n_features, sign from the hash; sums of 0 go."""
+    ship(long.sparkSession)
     t = long.withColumn("h", murmur3("term"))
     sign = F.when(F.col("h") < 0, -1.0).otherwise(1.0) if alternate_sign else F.lit(1.0)
     index = F.pmod(F.abs(F.col("h").cast("long")), F.lit(n_features)).cast("int")

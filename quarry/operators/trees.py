@@ -200,8 +200,10 @@ def fit_members(df, columns: list[str], seeds: list[int], fit_one, max_rows: int
     import pickle
 
     from quarry.operators.base import gather
+    from quarry.plans.shipping import ship
 
     spark = df.sparkSession
+    ship(spark)
     sent = spark.sparkContext.broadcast(gather(df, columns, max_rows))
 
     def run(batches):

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.plans.shipping import ship
+
 
 def matrix(batch: pa.RecordBatch) -> np.ndarray:
     return np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns])
@@ -31,6 +33,7 @@ def partial_sums(df: DataFrame, columns: list[str], kernel: Callable[[np.ndarray
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["i", "v"])
 
+    ship(df.sparkSession)
     parts = df.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns)]).mapInArrow(run, "i int, v double")
     rows = parts.groupBy("i").agg(F.sum("v").alias("v")).collect()
     out = np.zeros(len(rows))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["queries_metrics", "queries_columns"]
+MODULES = ["queries_metrics", "queries_columns", "queries_models"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
