@@ -11,21 +11,19 @@ from __future__ import annotations
 
 import atexit
 import hashlib
-import io
-import os
 import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 from functools import lru_cache
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.plans import shipping
+
 #: Bytes of text that one kernel call works on.
 SLICE_BYTES = 1 << 20
 #: Rows that Spark sends to Python at once; texts are long, so batches are short.
@@ -33,25 +31,10 @@ BATCH_ROWS = 512
 #: Words longer than this are hashed with blake2b instead of the polynomial.
 LONG_WORD = 512
 
-_shipped: set[str] = set()
-
-
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the executors once per application; set the Arrow batch size."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        package = Path(__file__).resolve().parents[1]
-        data = io.BytesIO()
-        with zipfile.ZipFile(data, "w") as z:
-            for f in sorted(package.rglob("*.py")):
-                z.write(f, str(f.relative_to(package.parent)))
-        folder = tempfile.mkdtemp(prefix="quarry-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        path = os.path.join(folder, "quarry_ship.zip")
-        Path(path).write_bytes(data.getvalue())
-        spark.sparkContext.addPyFile(path)
-        _shipped.add(app)
+    shipping.ship(spark)
     return spark
 
 
