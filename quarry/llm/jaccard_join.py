@@ -13,12 +13,12 @@ node.  Two nodes link when their sets' Jaccard measure reaches the threshold t.
    common ones.  Nodes that link share at least l of the first
    |x| - ceil(t |x|) + l shingles, for every l.  Each node picks the l at which its
    prefix costs least: the postings that the longer prefix meets, against the
-   verifications that l matches spare; a pair is held to the smaller l.
+   verifications that l matches spare; a pair is held to the smaller l, and to
+   the prefixes that its two sizes allow.
 4. Links are looked for only between what isn't yet connected: first between
-   nodes of equal min-hashes and one of them, then between the nodes of
-   a prefix shingle and one of them, last between all nodes of
-   different components that share enough prefix shingles, size and position
-   allowing.  So a group of n near copies costs about n verifications, and
+   nodes of equal min-hashes and the most central of them, then between the
+   nodes of a prefix shingle and its most central one, last between all nodes
+   of different components that share enough prefix shingles.  So a group of n near copies costs about n verifications, and
    no link between different components is lost.
 
 Hashes: 64 bits for a node's set, 40 bits and the bucket for a shingle.
@@ -42,7 +42,11 @@ FLUSH, BUCKET = 1 << 21, 1 << 22
 MOST_MATCHES, VERIFY_COST = 8, 0.05
 #: Rows of a shingle that one task compares; more are cut into blocks.
 BLOCK = 50_000
+#: From so many rows on, the nodes of a shingle are compared at once; nodes and bytes of shingles of one block.
+DENSE_ROWS, DENSE_BLOCK, DENSE_BYTES = 512, 4096, 1 << 25
 MIN_HASHES = 4
+#: Frequency codes stop at 254 (255: common); what a shingle with such a code counts as.
+FREQUENT, FREQUENT_COST = 254, 1e5
 _U = np.uint64
 _LOW = _U((1 << 40) - 1)
 
@@ -194,7 +198,7 @@ def _shared(shards: int):
         df = np.diff(np.append(edge, len(sh)))
         df = np.repeat(df, df)
         keep = df >= 2
-        sh, node, df = sh[keep] | _U(bucket << 40), node[keep], np.minimum(df[keep], 254).astype(np.uint8)
+        sh, node, df = sh[keep] | _U(bucket << 40), node[keep], np.minimum(df[keep], FREQUENT).astype(np.uint8)
         part = (mix(values.view(np.uint64))[node] % _U(shards)).astype(np.int64)
         order = np.lexsort((node, part))
         part, sh, node, df = part[order], sh[order], node[order], df[order]
@@ -209,15 +213,15 @@ def _empty() -> pa.Table:
     return pa.Table.from_arrays([pa.array([], t) for t in [pa.int32(), pa.int32(), *[pa.binary()] * 5]], names=_BLOB_NAMES)
 
 
-def required(n, percent: int):
-    """The least overlap that a set of n needs with any set it links with."""
-    return -(-n * percent // 100)
+def required(n, percent: int, of: int = 100):
+    """The least overlap that a set of n needs with any set it links with; with of = 100 + percent, two sets of n in all."""
+    return -(-n * percent // of)
 
 
 def choose_matches(dfs: np.ndarray, n: int, unshared: int, percent: int) -> int:
     """The number of matches l whose prefix costs least: postings met, and verifications of what meets l of them."""
     first = n - required(n, percent) + 1 - unshared
-    met = np.cumsum(dfs.astype(np.float64) - 1)
+    met = np.cumsum(np.where(dfs >= FREQUENT, FREQUENT_COST, dfs.astype(np.float64) - 1))
     best, least = 1, math.inf
     for l in range(1, MOST_MATCHES + 1):
         if first + l - 1 > len(dfs):
@@ -270,19 +274,20 @@ def _min_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sig = np.repeat(b.column("sig").to_numpy(), MIN_HASHES)
         keys = np.array([mix(np.frombuffer(x, np.uint64) ^ _U(0xA24BAED4963EE407 * (s + 1) & (1 << 64) - 1)).min() for x in b.column("shingles").to_pylist() for s in range(MIN_HASHES)], np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sig)], names=["key", "sig"])
+        central = b.column("central").take(pa.array(np.repeat(np.arange(b.num_rows), MIN_HASHES)))
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sig), central], names=["key", "sig", "central"])
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [b.column(c).to_pylist() for c in ("sig", "root", "n", "matches", "first", "shingles")]
+        rows = [b.column(c).to_pylist() for c in ("sig", "root", "n", "matches", "first", "u", "shingles")]
         for at in range(0, b.num_rows, 64):
             part = [c[at : at + 64] for c in rows]
             size = [f + l - 1 for f, l in zip(part[4], part[3], strict=True)]
-            sh = np.concatenate([np.frombuffer(x, np.uint64)[:k] for x, k in zip(part[5], size, strict=True)])
-            each = [pa.array(np.repeat(np.array(part[i], t), size)) for i, t in ((0, np.int64), (1, np.int64), (2, np.int64), (3, np.int32), (4, np.int32))]
+            sh = np.concatenate([np.frombuffer(x, np.uint64)[:k] for x, k in zip(part[6], size, strict=True)])
+            each = [pa.array(np.repeat(np.array(part[i], t), size)) for i, t in ((0, np.int64), (1, np.int64), (2, np.int64), (3, np.int32), (4, np.int32), (5, np.int32))]
             place = np.concatenate([np.arange(k, dtype=np.int32) for k in size])
-            yield pa.RecordBatch.from_arrays([pa.array(sh.view(np.int64)), *each, pa.array(place)], names=["shingle", "sig", "root", "n", "matches", "first", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(sh.view(np.int64)), *each, pa.array(place)], names=["shingle", "sig", "root", "n", "matches", "first", "u", "place"])
 
 
 def _verify(percent: int):
@@ -307,26 +312,29 @@ def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node of each component; nodes without edges are not in it.
+    """(node, root): the least node of each component, for all nodes with edges but the least ones.
 
-    Alternates large-star and small-star steps; edges are written to the
-    shared folder after each round, and no group is gathered.
+    Alternates large-star and small-star steps until every node points to a root;
+    edges are written to the shared folder after each round, and no group is gathered.
     """
-    e = stash(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
+    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
     while True:
         # large-star: what is above u, to the least around u
         around = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = around.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = stash(around.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"), "large")
         # small-star: what is below u, and u, to the least below u
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         e = stash(small.where("u <> v").distinct(), "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = now
+        if e.join(e.select(F.col("v").alias("u")), "u", "left_semi").isEmpty() and e.groupBy("u").count().where("count > 1").isEmpty():
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components of what was connected before and new links."""
+    known = links if roots is None else links.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b")))
+    return components(known)
 
 
 def _crossing(percent: int):
@@ -339,6 +347,7 @@ def _crossing(percent: int):
             return
         by_n = np.argsort(run["n"], kind="stable")
         c = {k: v[by_n] for k, v in run.items()}
+        c["rank"] = c["n"] - required(c["n"], percent) + 1 - c["first"] + c["place"]  # among all shingles, unshared ones first
         most = np.searchsorted(c["n"], c["n"] * 100 // percent, side="right")  # sizes allow partners up to here
         for s in range(0, m, 256):
             width = int(most[min(s + 255, m - 1)]) - s
@@ -349,14 +358,49 @@ def _crossing(percent: int):
             ok = (y > x) & (y < most[x]) & (c["root"][x] != c["root"][y])
             if cell_i != cell_j:
                 ok &= c["block"][x] != c["block"][y]
+            # the pair's own need: of its overlap, l shingles lie in the first n - need + l of either set
             l = np.minimum(c["matches"][x], c["matches"][y])
-            ok &= (c["place"][x] < c["first"][x] + l - 1) & (c["place"][y] < c["first"][y] + l - 1)
+            slack = l - required(c["n"][x] + c["n"][y], percent, percent + 100)
+            ok &= (c["rank"][x] < c["n"][x] + slack) & (c["rank"][y] < c["n"][y] + slack)
             p, q = np.nonzero(ok)
             if len(p):
                 a, b = c["sig"][s + p], c["sig"][s + q]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(l[p, q].astype(np.int32))], names=["a", "b", "matches"])
 
-    names = ["shingle", "i", "j", "sig", "root", "n", "matches", "first", "place", "block"]
+    return _by_cell(pairs, ["shingle", "i", "j", "sig", "root", "n", "matches", "first", "place", "block"])
+
+
+def _crowd(percent: int):
+    """Links between different components of a cell, from the products of its nodes' shingle sets."""
+
+    def pairs(run: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        sig, root, n = run["sig"], run["root"], run["n"]
+        names, where, counts = np.unique(root, return_inverse=True, return_counts=True)
+        if len(names) == 1:
+            return
+        few = np.flatnonzero(where != counts.argmax())  # every pair of two components has one of these
+        size = np.array([len(x) // 8 for x in run["shingles"]])
+        values, column = np.unique(np.frombuffer(b"".join(run["shingles"]), np.uint64), return_inverse=True)
+        row = np.repeat(np.arange(len(sig)), size)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        both = np.zeros((len(few), len(sig)), np.float32)
+        for c in range(0, len(values), 2048):
+            a, b = np.searchsorted(column, [c, c + 2048])
+            part = np.zeros((len(sig), 2048), np.float32)
+            part[row[a:b], column[a:b] - c] = 1
+            both += part[few] @ part.T
+        both = both.astype(np.int64)
+        p, q = np.nonzero((100 * both >= percent * (n[few][:, None] + n[None, :] - both)) & (root[few][:, None] != root[None, :]))
+        if len(p):
+            a, b = sig[few[p]], sig[q]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return _by_cell(pairs, ["shingle", "i", "j", "sig", "root", "n", "shingles"])
+
+
+def _by_cell(pairs, names: list[str]):
+    """pairs() on each run of equal (shingle, i, j) of a sorted partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
@@ -405,29 +449,24 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 75, text: str = "t
     run, schema = _prefixes(percent)
     nodes = stash(by_bucket.groupBy("part").applyInArrow(run, schema), "nodes")
 
-    # links that connect most: to the least node of equal min-hash, then of equal prefix shingle
-    keys = nodes.select("sig", "shingles").mapInArrow(_min_hashes, "key long, sig long")
-    edges = stash(verified(_to_least(keys), nodes, percent), "links")
-    for _ in range(2):
-        postings = _open_postings(nodes, components(edges))
-        least = _mixed(postings).withColumnRenamed("least", "a")
-        pairs = postings.select("shingle", F.col("sig").alias("b"), F.col("root").alias("rb")).join(least, "shingle").where("rb <> ra").select("a", "b").distinct()
-        more = stash(verified(pairs, nodes, percent), "links")
-        edges = edges.unionByName(more)
-        if more.isEmpty():
-            break
+    # links that connect most: to the most central node of equal min-hash, then of equal prefix shingle
+    keys = nodes.select("sig", "shingles", _central(percent)).mapInArrow(_min_hashes, "key long, sig long, central struct<u:int,sig:long>")
+    roots = _merged(None, stash(verified(_to_central(keys), nodes, percent), "links"))
+    postings = _open_postings(nodes, roots, percent)
+    pivots = _mixed(postings).select("shingle", F.col("central.sig").alias("a"), F.col("central.root").alias("ra"))
+    met = postings.select("shingle", F.col("sig").alias("b"), "root").join(pivots, "shingle").where("root <> ra")
+    best = met.groupBy("a", "b").agg(F.count("*").alias("met")).groupBy("b").agg(F.max_by("a", F.struct("met", "a")).alias("a"))
+    roots = _merged(roots, stash(verified(best, nodes, percent), "links"))
     # all that is left between different components
-    postings = stash(_open_postings(nodes, components(edges)), "postings")
-    mixed = postings.join(_mixed(postings).select("shingle", "rows"), "shingle").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
-    block = F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")
-    cells = mixed.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("shingle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sig", "root", "n", "matches", "first", "place", "block")
-    dealt_cells = cells.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
-    found = dealt_cells.mapInArrow(_crossing(percent), "a long, b long, matches int")
+    postings = stash(_open_postings(nodes, roots, percent), "postings")
+    mixed = postings.drop("u").join(_mixed(postings).select("shingle", "rows", "volume"), "shingle")
+    found = _cells(mixed.where(F.col("rows") < DENSE_ROWS), F.ceil(F.col("rows") / BLOCK)).mapInArrow(_crossing(percent), "a long, b long, matches int")
     pairs = found.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("matches").alias("matches")).where("met >= matches")
-    edges = stash(edges.unionByName(verified(pairs, nodes, percent)), "links")
-
-    roots = components(edges).withColumnRenamed("node", "sig")
+    # nodes of very frequent shingles are compared where they meet: candidates of such groups would be too many to deal out
+    crowds = mixed.where(F.col("rows") >= DENSE_ROWS)
+    crowd_nodes = crowds.join(nodes.select("sig", "shingles"), "sig")
+    dense = _cells(crowd_nodes, F.ceil(F.greatest(F.col("rows") / DENSE_BLOCK, F.col("volume") * 8 / DENSE_BYTES)), "shingles").mapInArrow(_crowd(percent), "a long, b long")
+    roots = _merged(roots, stash(verified(pairs, nodes, percent).unionByName(dense), "links")).withColumnRenamed("node", "sig")
     classes = rows.where("n > 0").groupBy("sig").agg(F.min(id_col).alias("least"))
     rooted = classes.join(roots, "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), "least")
     ids = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sig", "component_id")
@@ -443,20 +482,36 @@ def _bucket(shared):
     return run
 
 
-def _to_least(keys: DataFrame) -> DataFrame:
-    least = keys.groupBy("key").agg(F.min("sig").alias("a"), F.count("*").alias("c")).where("c > 1").select("key", "a")
-    return keys.join(least, "key").select("a", F.col("sig").alias("b")).where("a <> b").distinct()
+def _central(percent: int):
+    """What the most central nodes have least of: shingles that no other node holds, in thousandths of their set."""
+    n = F.col("n")
+    unshared = n - F.ceil(n * percent / 100) + 1 - F.col("first")
+    return F.struct((unshared * 1000 / n).cast("int").alias("u"), F.col("sig")).alias("central")
+
+
+def _cells(rows: DataFrame, blocks, *more: str) -> DataFrame:
+    """Rows dealt to the cells (shingle, i, j) of their shingle's pairs of blocks, sorted by cell."""
+    t = rows.withColumn("blocks", F.greatest(blocks, F.lit(1)).cast("int"))
+    t = t.withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    t = t.select("shingle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sig", "root", "n", "matches", "first", "place", "block", *more)
+    return t.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
+
+
+def _to_central(keys: DataFrame) -> DataFrame:
+    pivots = keys.groupBy("key").agg(F.min("central").alias("c"), F.count("*").alias("n")).where("n > 1").select("key", F.col("c.sig").alias("a"))
+    return keys.join(pivots, "key").select("a", F.col("sig").alias("b")).where("a <> b").distinct()
 
 
-def _open_postings(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+def _open_postings(nodes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     rooted = nodes.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    return rooted.select("sig", "root", "n", "matches", "first", "shingles").mapInArrow(_postings, "shingle long, sig long, root long, n long, matches int, first int, place int")
+    part = rooted.select("sig", "root", "n", "matches", "first", "shingles", _central(percent).getField("u").alias("u"))
+    return part.mapInArrow(_postings, "shingle long, sig long, root long, n long, matches int, first int, u int, place int")
 
 
 def _mixed(postings: DataFrame) -> DataFrame:
-    """Shingles of more than one component: their least node, its root, and how many rows they have."""
-    each = postings.groupBy("shingle").agg(F.min(F.struct("sig", "root")).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows"))
-    return each.where("lo <> hi").select("shingle", F.col("m.sig").alias("least"), F.col("m.root").alias("ra"), "rows")
+    """Shingles of more than one component: their most central node with its root, and how many rows they have."""
+    each = postings.groupBy("shingle").agg(F.min(F.struct("u", "sig", "root")).alias("central"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows"), F.sum("n").alias("volume"))
+    return each.where("lo <> hi").select("shingle", "central", "rows", "volume")
 
 
 ORACLE = """

@@ -116,9 +116,12 @@ def test_jaccard_join(docs, empty):
     assert components_of(empty) == []
 
 
-def test_jaccard_join_of_families(spark, monkeypatch):
+@pytest.mark.parametrize("dense", [3, 1000])
+def test_jaccard_join_of_families(spark, monkeypatch, dense):
     """Chains and families around the threshold, with every limit of the operator made small."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 7)
+    monkeypatch.setattr(jaccard_join, "DENSE_ROWS", dense)
+    monkeypatch.setattr(jaccard_join, "DENSE_BLOCK", 8)
     rng = np.random.default_rng(5)
     rows = []
     for family in range(6):
