@@ -110,7 +110,7 @@ class BaseEstimator:
 
     def __init_subclass__(cls, **kw: Any) -> None:
         super().__init_subclass__(**kw)
-        if not cls.__name__.startswith("_") and not getattr(cls, "abstract", False):
+        if not cls.__name__.startswith("_") and not cls.__dict__.get("abstract"):
             register_estimator(cls)
 
     def __init__(self, **params: Any) -> None:
