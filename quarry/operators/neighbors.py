@@ -294,6 +294,12 @@ class LocalOutlierFactor(OutlierDetector, BaseEstimator):
         return df.join(flag, self.row_, "left")
 
 
+def density_shape(kernel: str, u: np.ndarray) -> np.ndarray:
+    """Kernel heights at distances u, in bandwidths, without the norming constant."""
+    inside = u < 1
+    return {"gaussian": lambda: np.exp(-u * u / 2), "exponential": lambda: np.exp(-u), "tophat": lambda: inside * 1.0, "epanechnikov": lambda: np.where(inside, 1 - u * u, 0), "linear": lambda: np.where(inside, 1 - u, 0), "cosine": lambda: np.where(inside, np.cos(np.pi * u / 2), 0)}[kernel]()
+
+
 class KernelDensity(BaseEstimator):
     """Log densities by a sum over all fitted rows, in the blocks of the neighbour search."""
 
@@ -315,17 +321,13 @@ class KernelDensity(BaseEstimator):
             return ball + math.log(p) + math.lgamma(p)
         nodes, weights = np.polynomial.legendre.leggauss(64)
         r = (nodes + 1) / 2
-        return ball + math.log(p * float((weights / 2 * r ** (p - 1) * self._shape(r)).sum()))
-
-    def _shape(self, u: np.ndarray) -> np.ndarray:
-        inside = u < 1
-        return {"gaussian": lambda: np.exp(-u * u / 2), "exponential": lambda: np.exp(-u), "tophat": lambda: inside * 1.0, "epanechnikov": lambda: np.where(inside, 1 - u * u, 0), "linear": lambda: np.where(inside, 1 - u, 0), "cosine": lambda: np.where(inside, np.cos(np.pi * u / 2), 0)}[self.kernel]()
+        return ball + math.log(p * float((weights / 2 * r ** (p - 1) * density_shape(self.kernel, r)).sum()))
 
     def score_samples(self, df, output="log_density"):
         import math
 
         ship(df.sparkSession)
-        h, shape = self.bandwidth, self._shape
+        h, name = self.bandwidth, self.kernel
         rows, cols = -(-self.n_ // BLOCK) or 1, -(-df.count() // CHUNK) or 1
         left = _vectors(df, self.row_, self.features_, []).select("row", "v", F.pmod(F.xxhash64("row"), F.lit(cols)).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("b"))
         right = _vectors(self._base, self.row_, self.features_, []).select("row", "v", F.pmod(F.xxhash64("row"), F.lit(rows)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("c"))
@@ -334,7 +336,7 @@ class KernelDensity(BaseEstimator):
             if not len(a) or not len(b):
                 return pd.DataFrame({"row": [], "s": []}).astype({"row": "int64"})
             d = pairwise(np.stack(a["v"].to_list()), np.stack(b["v"].to_list())) / h
-            return pd.DataFrame({"row": a["row"], "s": shape(d).sum(axis=1)})
+            return pd.DataFrame({"row": a["row"], "s": density_shape(name, d).sum(axis=1)})
 
         sums = left.groupBy("c", "b").cogroup(right.groupBy("c", "b")).applyInPandas(cell, "row long, s double").groupBy("row").agg(F.sum("s").alias("s"))
         shift = self._log_norm() + len(self.features_) * math.log(h) + math.log(self.n_)
