@@ -64,7 +64,7 @@ SQL["local_outlier_factor"] = f"""with {EMB}, d as (select a.row_id as q, b.row_
 kd as (select q, max(d) as kd from k group by q), l as (select k.q, 1 / (avg(greatest(k.d, kd.kd)) + 1e-10) as lrd from k join kd on kd.q = k.n group by k.q)
 select k.q as row_id, round(avg(b.lrd) / any_value(a.lrd), 6) as lof from k join l a on a.q = k.q join l b on b.q = k.n group by k.q"""
 Q["kernel_density"] = lambda spark, d: rounded(neighbors.KernelDensity(bandwidth=0.5).fit(labelled(spark, d), XS).score_samples(labelled(spark, d)).select("row_id", "log_density"))
-SQL["kernel_density"] = f"with {EMB} select a.row_id, round(ln(sum(exp(-(list_distance(a.x, b.x) / 0.5) ** 2 / 2))) - 4 * ln(2 * pi()) - 8 * ln(0.5) - ln((select count(*) from t)), 6) as log_density from t a, t b group by a.row_id"
+SQL["kernel_density"] = f"with {EMB} select a.row_id, round(ln(sum(exp(-2 * list_distance(a.x, b.x) * list_distance(a.x, b.x)))) - 4 * ln(2 * pi()) - 8 * ln(0.5) - ln((select count(*) from t)), 6) as log_density from t a, t b group by a.row_id"
 
 
 def _tree(cls):
