@@ -1,9 +1,10 @@
 """Operator 2: tool-call linking for chat formatting, in DataFrame operations only.
 
 Calls and results are joined by (scope, identifier).  A call may name the calls whose
-results it uses; levels are found by sweeps that settle, each time, what depends
-only on settled calls, so (level, id) is a topological order and what is never
-settled stands on a cycle or behind one.  Arguments are parsed to variants and
+results it uses.  Where those stand before it in a given order, that order is
+kept; other scopes get levels by sweeps that settle, each time, what depends
+only on settled calls, and what is never settled stands on a cycle or behind
+one.  Either way (level, id) is a topological order.  Arguments are parsed to variants and
 checked against JSON schemas turned to column expressions.  Canonical JSON has
 sorted keys and no white space; it is what ``to_json`` gives of a variant.
 
@@ -77,15 +78,15 @@ def levels(calls: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
     edges: (scope, id, after).  Dependencies on calls that are not there do not
     count.  One sweep for each level: a join on the edges still open.
     """
-    known = calls.select("scope", "id").distinct()
-    open_edges = stash(edges.join(known, ["scope", "id"], "left_semi").join(known.withColumnRenamed("id", "after"), ["scope", "after"], "left_semi").distinct(), "edges")
-    settled = stash(known.join(open_edges.select("scope", "id").distinct(), ["scope", "id"], "left_anti").withColumn("level", F.lit(0)), "levels")
+    known = stash(calls.select("scope", "id").distinct(), "calls")
+    open_edges = stash(edges.join(known.hint("merge"), ["scope", "id"], "left_semi").join(known.withColumnRenamed("id", "after").hint("merge"), ["scope", "after"], "left_semi").distinct(), "edges")
+    settled = stash(known.join(open_edges.select("scope", "id").distinct().hint("merge"), ["scope", "id"], "left_anti").withColumn("level", F.lit(0)), "levels")
     done, level = [settled], 0
     while level < most:
         level += 1
-        left = open_edges.join(settled.select("scope", F.col("id").alias("after")), ["scope", "after"], "left_anti")
+        left = open_edges.join(settled.select("scope", F.col("id").alias("after")).hint("merge"), ["scope", "after"], "left_anti")
         left = stash(left, "edges")
-        ready = open_edges.select("scope", "id").distinct().join(left.select("scope", "id").distinct(), ["scope", "id"], "left_anti")
+        ready = open_edges.select("scope", "id").distinct().join(left.select("scope", "id").distinct().hint("merge"), ["scope", "id"], "left_anti")
         settled = stash(ready.withColumn("level", F.lit(level)), "levels")
         if settled.isEmpty():
             break
@@ -94,10 +95,30 @@ def levels(calls: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return known.join(out, ["scope", "id"], "left")
+    return known.join(out.hint("merge"), ["scope", "id"], "left")
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+def ordered(calls: DataFrame, edges: DataFrame, position: str | None) -> DataFrame:
+    """(scope, id, level) such that (level, id) is a topological order.
+
+    In scopes where every dependency has a smaller position than what depends
+    on it, positions are levels already; only other scopes, and all without a
+    position column, need the sweeps of :func:`levels`.  Of several rows of one id the
+    least position counts.
+    """
+    if position is None:
+        return levels(calls, edges)
+    at = stash(calls.groupBy("scope", "id").agg(F.min(F.col(position).cast("long")).alias("at")), "positions")
+    both = edges.join(at.hint("merge"), ["scope", "id"]).join(at.select("scope", F.col("id").alias("after"), F.col("at").alias("before")).hint("merge"), ["scope", "after"])
+    wrong = stash(both.where("not coalesce(before < at, false)").select("scope").distinct(), "scopes")
+    plain = at.select("scope", "id", F.col("at").alias("level"))
+    if wrong.isEmpty():
+        return plain
+    swept = levels(calls.join(wrong.hint("merge"), ["scope"], "left_semi"), edges.join(wrong.hint("merge"), ["scope"], "left_semi"))
+    return plain.join(wrong.hint("merge"), ["scope"], "left_anti").unionByName(swept.select("scope", "id", F.col("level").cast("long").alias("level")))
+
+
+def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], position: str | None = None) -> DataFrame:
     """One row for each call: its level, results, validity and canonical JSON.
 
     calls: scope, id, name, arguments (JSON text), after (array of call ids, may be null).
@@ -110,7 +131,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     Results without a call are left out; see :func:`unmatched`.
     """
     edges = calls.where(F.col("after").isNotNull()).select("scope", "id", F.explode("after").alias("after")).where("after is not null")
-    level = levels(calls.where("scope is not null and id is not null"), edges)
+    level = ordered(calls.where("scope is not null and id is not null"), edges, position)
     counts = results.where("scope is not null and id is not null").groupBy("scope", "id").agg(F.count("*").alias("n_results"))
     value = F.try_parse_json(F.col("arguments"))
     errors = F.array(F.lit("$: unknown tool"))
@@ -118,7 +139,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
         errors = F.when(F.col("name") == name, schema_errors(value, schema)).otherwise(errors)
     errors = F.when(value.isNull(), F.array(F.lit("$: json"))).otherwise(errors)
     rows = calls.select("scope", "id", "name", "arguments").withColumn("errors", errors)
-    joined = rows.join(level, ["scope", "id"], "left").join(counts, ["scope", "id"], "left")
+    joined = rows.join(level.hint("merge"), ["scope", "id"], "left").join(counts.hint("merge"), ["scope", "id"], "left")
     alone = F.col("scope").isNull() | F.col("id").isNull()
     text = F.concat(F.lit('{"arguments":'), F.coalesce(canonical_json(F.col("arguments")), F.lit("null")), F.lit(',"id":'), _quoted("id"), F.lit(',"name":'), _quoted("name"), F.lit("}"))
     return joined.select(
@@ -128,7 +149,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
 
 def unmatched(calls: DataFrame, results: DataFrame) -> DataFrame:
     """Results whose call isn't there."""
-    return results.join(calls.select("scope", "id").distinct(), ["scope", "id"], "left_anti")
+    return results.join(calls.select("scope", "id").distinct().hint("merge"), ["scope", "id"], "left_anti")
 
 
 def _quoted(column: str) -> Column:
@@ -155,25 +176,19 @@ def conversation_calls(turns: DataFrame) -> DataFrame:
     t = F.col("turn")
     args = F.to_json(F.struct(t.alias("turn"), F.col("text").alias("text")))
     calls = turns.where(F.col("role").isin("user", "system")).select(
-        F.col("conv_id").cast("string").alias("scope"), ident(t).alias("id"), F.when(F.col("role") == "user", "ask").otherwise("instruct").alias("name"), args.alias("arguments"), F.array(ident(t - 1), ident(t - 2)).alias("after")
+        F.col("conv_id").cast("string").alias("scope"), ident(t).alias("id"), F.when(F.col("role") == "user", "ask").otherwise("instruct").alias("name"), args.alias("arguments"), F.array(ident(t - 1), ident(t - 2)).alias("after"), t.alias("turn")
     )
     results = turns.where(F.col("role") == "assistant").select(F.col("conv_id").cast("string").alias("scope"), ident(t - 1).alias("id"), F.col("text").alias("content"))
-    out = link(calls, results, TURN_SCHEMAS)
+    out = link(calls, results, TURN_SCHEMAS, "turn")
     return out.select(F.col("scope").cast("long").alias("conv_id"), "id", "name", F.col("level").cast("int").alias("level"), "n_results", F.array_join("errors", ";").alias("errors"), "valid", "json")
 
 
 ORACLE = """
-with recursive c as (
+with c as (
   select conv_id, turn, conv_id::varchar || ':' || turn::varchar as id, case role when 'user' then 'ask' else 'instruct' end as name, text
   from conversations where role in ('user', 'system')
 ), r as (
   select conv_id, turn - 1 as turn, count(*) as n from conversations where role = 'assistant' group by all
-), walk as (
-  select distinct conv_id, turn, 0 as level from c
-  union
-  select c.conv_id, c.turn, walk.level + 1 from c join walk on c.conv_id = walk.conv_id and c.turn - walk.turn in (1, 2)
-), lev as (
-  select conv_id, turn, max(level) as level from walk group by all
 ), e as (
   select c.*, list_filter([
     case when text is null then '$.text: required' end,
@@ -183,7 +198,7 @@ with recursive c as (
     case when name = 'instruct' and turn > 0 then '$.turn: maximum' end], lambda x: x is not null) as errors
   from c
 )
-select e.conv_id, e.id, e.name, lev.level::int as level, coalesce(r.n, 0)::bigint as n_results, array_to_string(errors, ';') as errors, len(errors) = 0 as valid,
+select e.conv_id, e.id, e.name, e.turn::int as level, coalesce(r.n, 0)::bigint as n_results, array_to_string(errors, ';') as errors, len(errors) = 0 as valid,
        '{"arguments":' || case when text is null then to_json({'turn': e.turn}) else to_json({'text': text, 'turn': e.turn}) end || ',"id":' || to_json(e.id) || ',"name":' || to_json(e.name) || '}' as json
-from e join lev using (conv_id, turn) left join r using (conv_id, turn)
+from e left join r using (conv_id, turn)
 """

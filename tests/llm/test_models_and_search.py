@@ -150,11 +150,18 @@ def test_tool_calls(spark):
     assert tool_calls.link(calls.limit(0), results.limit(0), {"f": schema}).count() == 0
 
 
+def test_positions_are_kept_where_they_are_an_order(spark):
+    rows = [("s", "a", None, 5), ("s", "b", ["a"], 9), ("t", "a", ["b"], 1), ("t", "b", None, 2), ("u", "a", ["a"], 0)]
+    calls = spark.createDataFrame([(s, i, "f", "{}", d, p) for s, i, d, p in rows], "scope string, id string, name string, arguments string, after array<string>, turn int")
+    out = tool_calls.link(calls, spark.createDataFrame([], "scope string, id string"), {"f": {}}, "turn").collect()
+    assert {(r.scope, r.id): r.level for r in out} == {("s", "a"): 5, ("s", "b"): 9, ("t", "a"): 1, ("t", "b"): 0, ("u", "a"): None}
+
+
 def test_conversations_with_nulls(spark):
     turns = spark.createDataFrame([(1, 0, "user", None, 0), (1, 1, "assistant", "x", 0), (None, 0, "user", "a", 0), (2, None, "user", "", 0), (1, 2, "user", "y" * 2000, 0), (1, 0, "user", None, 0)], "conv_id long, turn long, role string, text string, id int")
     rows = tool_calls.conversation_calls(turns).collect()
     assert len(rows) == 5 and tool_calls.conversation_calls(turns.limit(0)).count() == 0
-    assert {(r.id, r.level, r.n_results) for r in rows if r.conv_id == 1} == {("1:0", 0, 1), ("1:2", 1, 0)}
+    assert {(r.id, r.level, r.n_results) for r in rows if r.conv_id == 1} == {("1:0", 0, 1), ("1:2", 2, 0)}
 
 
 def test_pipeline(spark, tmp_path):
