@@ -22,7 +22,7 @@ BLOCK, CHUNK = 8192, 4096
 
 
 def _vectors(df: DataFrame, row: str, features: list[str], extra: list[str]) -> DataFrame:
-    return df.select(F.col(row).cast("long").alias("row"), F.array(*[F.col(c).cast("double") for c in features]).alias("v"), *[F.col(c).cast("double").alias(c) for c in extra])
+    return df.select(F.col(row).cast("long").alias("row"), F.array(*[F.col(c).cast("double") for c in features]).alias("__v"), *[F.col(c).cast("double").alias(c) for c in extra])
 
 
 def neighbour_pairs(queries: DataFrame, base: DataFrame, features: list[str], row: str = "row_id", k: int | None = None, radius: float | None = None, metric: str = "euclidean", p: float = 2, skip_self: bool = False, extra: list[str] | None = None) -> DataFrame:
@@ -31,14 +31,14 @@ def neighbour_pairs(queries: DataFrame, base: DataFrame, features: list[str], ro
     ship(queries.sparkSession)
     n, m = base.count(), queries.count()
     rows, cols = -(-n // BLOCK) or 1, -(-m // CHUNK) or 1
-    left = _vectors(queries, row, features, []).select("row", "v", F.pmod(F.xxhash64("row"), F.lit(cols)).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("b"))
-    right = _vectors(base, row, features, extra).select("row", "v", *extra, F.pmod(F.xxhash64("row"), F.lit(rows)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("c"))
+    left = _vectors(queries, row, features, []).select("row", "__v", F.pmod(F.xxhash64("row"), F.lit(cols)).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("b"))
+    right = _vectors(base, row, features, extra).select("row", "__v", *extra, F.pmod(F.xxhash64("row"), F.lit(rows)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("c"))
 
     def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query": [], "neighbour": [], "d": [], **{c: [] for c in extra}}).astype({"query": "int64", "neighbour": "int64"})
         b = b.sort_values("row", kind="stable")
-        ids, base_v, q = b["row"].to_numpy(), np.stack(b["v"].to_list()), np.stack(a["v"].to_list())
+        ids, base_v, q = b["row"].to_numpy(), np.stack(b["__v"].to_list()), np.stack(a["__v"].to_list())
         qs, at, ds = [], [], []
         for s in range(0, len(q), 256):
             d = pairwise(q[s : s + 256], base_v, metric, p)
@@ -329,13 +329,13 @@ class KernelDensity(BaseEstimator):
         ship(df.sparkSession)
         h, name = self.bandwidth, self.kernel
         rows, cols = -(-self.n_ // BLOCK) or 1, -(-df.count() // CHUNK) or 1
-        left = _vectors(df, self.row_, self.features_, []).select("row", "v", F.pmod(F.xxhash64("row"), F.lit(cols)).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("b"))
-        right = _vectors(self._base, self.row_, self.features_, []).select("row", "v", F.pmod(F.xxhash64("row"), F.lit(rows)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("c"))
+        left = _vectors(df, self.row_, self.features_, []).select("row", "__v", F.pmod(F.xxhash64("row"), F.lit(cols)).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("b"))
+        right = _vectors(self._base, self.row_, self.features_, []).select("row", "__v", F.pmod(F.xxhash64("row"), F.lit(rows)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("c"))
 
         def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if not len(a) or not len(b):
                 return pd.DataFrame({"row": [], "s": []}).astype({"row": "int64"})
-            d = pairwise(np.stack(a["v"].to_list()), np.stack(b["v"].to_list())) / h
+            d = pairwise(np.stack(a["__v"].to_list()), np.stack(b["__v"].to_list())) / h
             return pd.DataFrame({"row": a["row"], "s": density_shape(name, d).sum(axis=1)})
 
         sums = left.groupBy("c", "b").cogroup(right.groupBy("c", "b")).applyInPandas(cell, "row long, s double").groupBy("row").agg(F.sum("s").alias("s"))
