@@ -1,10 +1,9 @@
 """Operator 2: tool-call linking for chat formatting, in DataFrame operations only.
 
 Calls and results are joined by (scope, identifier).  A call may name the calls whose
-results it uses.  Where those stand before it in a given order, that order is
-kept; other scopes get levels by sweeps that settle, each time, what depends
-only on settled calls, and what is never settled stands on a cycle or behind
-one.  Either way (level, id) is a topological order.  Arguments are parsed to variants and
+results it uses; its level is its depth in these dependencies, found by pointer
+doubling, and calls on a cycle or behind one have none.  So (level, id) is a
+topological order.  Arguments are parsed to variants and
 checked against JSON schemas turned to column expressions.  Canonical JSON has
 sorted keys and no white space; it is what ``to_json`` gives of a variant.
 
@@ -72,30 +71,49 @@ def _json(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-def levels(calls: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
-    """(scope, id, level): 0 without dependencies, else one more than the highest of them; null on cycles.
+#: Stands for an endless chain where levels are compared.
+_ENDLESS = 1 << 62
+
+
+def _depths(known: DataFrame, chosen: DataFrame, largest: int) -> DataFrame:
+    """(scope, id, level) of calls that each follow one other call, or none: the length of the chain; null where it never ends.
+
+    Pointers are doubled: after k rounds each skips 2**k calls.  A chain as long as
+    the largest scope is endless.
+    """
+    at = known.join(chosen.hint("merge"), ["scope", "id"], "left").withColumn("level", F.col("ptr").isNotNull().cast("long"))
+    at, hops = stash(at, "pointers"), 1
+    while hops < 2 * largest and not at.where("ptr is not null").isEmpty():
+        hops *= 2
+        there = at.select("scope", F.col("id").alias("ptr"), F.col("ptr").alias("far"), F.col("level").alias("more"))
+        moved = at.where("ptr is not null").join(there.hint("merge"), ["scope", "ptr"]).select("scope", "id", F.col("far").alias("ptr"), (F.col("level") + F.col("more")).alias("level"))
+        at = stash(moved.unionByName(at.where("ptr is null")), "pointers")
+    return at.select("scope", "id", F.when(F.col("ptr").isNull(), F.col("level")).alias("level"))
+
+
+def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """(scope, id, level): 0 without dependencies, else one more than the highest of them; null on cycles and behind them.
 
     edges: (scope, id, after).  Dependencies on calls that are not there do not
-    count.  One sweep for each level: a join on the edges still open.
+    count.  Each call first follows one of its dependencies, of the longest and
+    last name; where another turns out higher, it follows that, until none is.
+    Chains are measured in as many joins as their length has binary digits.
     """
     known = stash(calls.select("scope", "id").distinct(), "calls")
-    open_edges = stash(edges.join(known.hint("merge"), ["scope", "id"], "left_semi").join(known.withColumnRenamed("id", "after").hint("merge"), ["scope", "after"], "left_semi").distinct(), "edges")
-    settled = stash(known.join(open_edges.select("scope", "id").distinct().hint("merge"), ["scope", "id"], "left_anti").withColumn("level", F.lit(0)), "levels")
-    done, level = [settled], 0
-    while level < most:
-        level += 1
-        left = open_edges.join(settled.select("scope", F.col("id").alias("after")).hint("merge"), ["scope", "after"], "left_anti")
-        left = stash(left, "edges")
-        ready = open_edges.select("scope", "id").distinct().join(left.select("scope", "id").distinct().hint("merge"), ["scope", "id"], "left_anti")
-        settled = stash(ready.withColumn("level", F.lit(level)), "levels")
-        if settled.isEmpty():
-            break
-        done.append(settled)
-        open_edges = left
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return known.join(out.hint("merge"), ["scope", "id"], "left")
+    edges = edges.join(known.hint("merge"), ["scope", "id"], "left_semi").join(known.withColumnRenamed("id", "after").hint("merge"), ["scope", "after"], "left_semi")
+    edges = stash(edges.select("scope", "id", "after").distinct(), "edges")
+    largest = known.groupBy("scope").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    chosen = edges.groupBy("scope", "id").agg(F.max(F.struct(F.length("after"), "after"))["after"].alias("ptr"))
+    while True:
+        depths = _depths(known, chosen, largest)
+        top = F.coalesce("level", F.lit(_ENDLESS))
+        best = edges.join(depths.select("scope", F.col("id").alias("after"), top.alias("top")).hint("merge"), ["scope", "after"])
+        best = best.groupBy("scope", "id").agg(F.max(F.struct("top", "after")).alias("best"))
+        higher = best.join(depths.hint("merge"), ["scope", "id"]).where(F.col("best.top") >= F.col("level"))
+        higher = stash(higher.select("scope", "id", F.col("best.after").alias("other")), "higher")
+        if higher.isEmpty():
+            return depths
+        chosen = stash(chosen.join(higher.hint("merge"), ["scope", "id"], "left").select("scope", "id", F.coalesce("other", "ptr").alias("ptr")), "chosen")
 
 
 def ordered(calls: DataFrame, edges: DataFrame, position: str | None) -> DataFrame:
@@ -103,7 +121,7 @@ def ordered(calls: DataFrame, edges: DataFrame, position: str | None) -> DataFra
 
     In scopes where every dependency has a smaller position than what depends
     on it, positions are levels already; only other scopes, and all without a
-    position column, need the sweeps of :func:`levels`.  Of several rows of one id the
+    position column, need :func:`levels`.  Of several rows of one id the
     least position counts.
     """
     if position is None:
@@ -176,19 +194,25 @@ def conversation_calls(turns: DataFrame) -> DataFrame:
     t = F.col("turn")
     args = F.to_json(F.struct(t.alias("turn"), F.col("text").alias("text")))
     calls = turns.where(F.col("role").isin("user", "system")).select(
-        F.col("conv_id").cast("string").alias("scope"), ident(t).alias("id"), F.when(F.col("role") == "user", "ask").otherwise("instruct").alias("name"), args.alias("arguments"), F.array(ident(t - 1), ident(t - 2)).alias("after"), t.alias("turn")
+        F.col("conv_id").cast("string").alias("scope"), ident(t).alias("id"), F.when(F.col("role") == "user", "ask").otherwise("instruct").alias("name"), args.alias("arguments"), F.array(ident(t - 1), ident(t - 2)).alias("after")
     )
     results = turns.where(F.col("role") == "assistant").select(F.col("conv_id").cast("string").alias("scope"), ident(t - 1).alias("id"), F.col("text").alias("content"))
-    out = link(calls, results, TURN_SCHEMAS, "turn")
+    out = link(calls, results, TURN_SCHEMAS)
     return out.select(F.col("scope").cast("long").alias("conv_id"), "id", "name", F.col("level").cast("int").alias("level"), "n_results", F.array_join("errors", ";").alias("errors"), "valid", "json")
 
 
 ORACLE = """
-with c as (
+with recursive c as (
   select conv_id, turn, conv_id::varchar || ':' || turn::varchar as id, case role when 'user' then 'ask' else 'instruct' end as name, text
   from conversations where role in ('user', 'system')
 ), r as (
   select conv_id, turn - 1 as turn, count(*) as n from conversations where role = 'assistant' group by all
+), walk as (
+  select distinct conv_id, turn, 0 as level from c
+  union
+  select c.conv_id, c.turn, walk.level + 1 from c join walk on c.conv_id = walk.conv_id and c.turn - walk.turn in (1, 2)
+), lev as (
+  select conv_id, turn, max(level) as level from walk group by all
 ), e as (
   select c.*, list_filter([
     case when text is null then '$.text: required' end,
@@ -198,7 +222,7 @@ with c as (
     case when name = 'instruct' and turn > 0 then '$.turn: maximum' end], lambda x: x is not null) as errors
   from c
 )
-select e.conv_id, e.id, e.name, e.turn::int as level, coalesce(r.n, 0)::bigint as n_results, array_to_string(errors, ';') as errors, len(errors) = 0 as valid,
+select e.conv_id, e.id, e.name, lev.level::int as level, coalesce(r.n, 0)::bigint as n_results, array_to_string(errors, ';') as errors, len(errors) = 0 as valid,
        '{"arguments":' || case when text is null then to_json({'turn': e.turn}) else to_json({'text': text, 'turn': e.turn}) end || ',"id":' || to_json(e.id) || ',"name":' || to_json(e.name) || '}' as json
-from e left join r using (conv_id, turn)
+from e join lev using (conv_id, turn) left join r using (conv_id, turn)
 """

@@ -161,7 +161,22 @@ def test_conversations_with_nulls(spark):
     turns = spark.createDataFrame([(1, 0, "user", None, 0), (1, 1, "assistant", "x", 0), (None, 0, "user", "a", 0), (2, None, "user", "", 0), (1, 2, "user", "y" * 2000, 0), (1, 0, "user", None, 0)], "conv_id long, turn long, role string, text string, id int")
     rows = tool_calls.conversation_calls(turns).collect()
     assert len(rows) == 5 and tool_calls.conversation_calls(turns.limit(0)).count() == 0
-    assert {(r.id, r.level, r.n_results) for r in rows if r.conv_id == 1} == {("1:0", 0, 1), ("1:2", 2, 0)}
+    assert {(r.id, r.level, r.n_results) for r in rows if r.conv_id == 1} == {("1:0", 0, 1), ("1:2", 1, 0)}
+
+
+def test_levels_are_depths(spark):
+    """Conversations' levels are depths, not turns; other dependencies by a plain version, with cycles and a long chain."""
+    turns = spark.createDataFrame([(1, t, "user" if t not in (3, 7, 8) else "assistant", "x") for t in range(11)], "conv_id long, turn long, role string, text string")
+    assert {r.id: r.level for r in tool_calls.conversation_calls(turns).collect()} == {"1:0": 0, "1:1": 1, "1:2": 2, "1:4": 3, "1:5": 4, "1:6": 5, "1:9": 0, "1:10": 1}
+    rng = np.random.default_rng(3)
+    after = {("r", str(i)): {str(j) for j in rng.integers(0, 40, 2) if j < i or rng.random() < 0.02} for i in range(40)}
+    after |= {("l", str(i)): {str(i - 1)} if i else set() for i in range(300)} | {("c", "a"): {"b"}, ("c", "b"): {"a", "d"}, ("c", "d"): set(), ("c", "e"): {"a", "d"}}
+    want: dict = {}
+    while more := {k: 1 + max((want[k[0], d] for d in ds), default=-1) for k, ds in after.items() if k not in want and all((k[0], d) in want for d in ds)}:
+        want |= more
+    calls = spark.createDataFrame(list(after), "scope string, id string")
+    edges = spark.createDataFrame([(s, i, d) for (s, i), ds in after.items() for d in ds], "scope string, id string, after string")
+    assert {(r.scope, r.id): r.level for r in tool_calls.levels(calls, edges).collect()} == {k: want.get(k) for k in after}
 
 
 def test_pipeline(spark, tmp_path):
