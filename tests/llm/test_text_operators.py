@@ -5,6 +5,7 @@ import bz2
 import gzip
 import hashlib
 import itertools
+import lzma
 import re
 import urllib.parse
 import zlib
@@ -187,6 +188,20 @@ def test_secrets_are_found_through_layers(wrap):
     assert secret_scans.suspects(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
 
 
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, lambda b: ("é" * 37 + b.decode()).encode("utf-8")])
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+def test_wrapped_base64_is_found_by_the_operator(spark, pack, newline):
+    """Blocks of many lines and of a last line of few characters, in texts with nothing else to see."""
+    rows = []
+    for k in range(40):
+        noise = " ".join(hashlib.sha256(b"%d %d" % (k, i)).hexdigest()[:11] for i in range(k + 6))
+        block = base64.encodebytes(pack((noise + " " + SECRET + " end").encode())).decode().replace("\n", newline)
+        rows.append((k, "see below" + newline + block + "the end"))
+    got = {r.doc_id: r.spans for r in secret_scans.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(any(s.kind == "assign" for s in got[k]) for k, _ in rows)
+    assert all([tuple(s) for s in got[k]] == brute_secrets(t) for k, t in rows)
+
+
 def test_base64_spans_map_to_their_characters():
     inner = "xx " + SECRET + " yy zz"
     run = base64.b64encode(inner.encode()).decode()
