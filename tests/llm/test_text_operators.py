@@ -202,6 +202,25 @@ def test_wrapped_base64_is_found_by_the_operator(spark, pack, newline):
     assert all([tuple(s) for s in got[k]] == brute_secrets(t) for k, t in rows)
 
 
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress, lambda b: pytest.importorskip("zstandard").compress(b)])
+def test_url_safe_runs_and_several_members_are_opened(pack):
+    marked = 0
+    for k in range(60):
+        inner = (" ".join(hashlib.sha256(b"%d %d" % (k, i)).hexdigest()[:11] for i in range(k % 12)) + " " + SECRET).encode()
+        run = base64.urlsafe_b64encode(pack(inner)).decode().rstrip("=")
+        marked += "-" in run or "_" in run
+        assert any(s[0] == "assign" for s in brute_secrets("see " + run))
+        for members in (pack(b"first ") + pack(inner), gzip.compress(b"first ") + bytes(4) + pack(inner)):
+            assert any(s[0] == "assign" for s in brute_secrets("see " + base64.b64encode(members).decode()))
+    assert marked > 20
+
+
+def test_layers_left_wrapped_are_counted(spark):
+    bomb, small = (base64.b64encode(bz2.compress(b"a" * n)).decode() for n in ((1 << 24) + 1, 1 << 10))
+    df = spark.createDataFrame([(1, "see " + bomb), (2, "see " + small)], "doc_id long, text string")
+    assert {r.doc_id: r.n_wrapped for r in secret_scans.digest(secret_scans.find_secrets(df)).collect()} == {1: 1, 2: 0}
+
+
 def test_base64_spans_map_to_their_characters():
     inner = "xx " + SECRET + " yy zz"
     run = base64.b64encode(inner.encode()).decode()
