@@ -1,8 +1,10 @@
 """Operator 3: optimal length buckets and token-budget batches.
 
-The lengths of all rows go to one histogram of at most MOST_BINS bins.  Dynamic
-programming over it finds the bucket boundaries (multiples of the bin width)
-for which the padding of every row to its bucket's boundary is least in total.  In
+The lengths of all rows go to one histogram of the exact lengths: n of them take
+n * n / 2 tokens at least, so it stays small.  Dynamic programming over it, by divide
+and conquer, finds the bucket boundaries for which the padding of every row to its
+bucket's boundary is least in total.  (The query with SQL rounds the lengths up to at
+most MOST_BINS bins first, as its SQL does; so one long text coarsens all.)  In
 a bucket, rows form batches in the order of their ids; a batch holds as many rows
 as the token budget allows at the padded length, one at least.
 
@@ -38,11 +40,9 @@ def boundaries(bins: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     before = np.concatenate([[0], np.cumsum(counts.astype(np.int64))])
     cost = before[1:] * bins  # one bucket up to each bin
     back = []
-    for _ in range(min(buckets, m) - 1):
-        step = cost[:, None] + (before[None, 1:] - before[1:, None]) * bins[None, :]
-        step[np.tril_indices(m)] = np.iinfo(np.int64).max // 2
-        back.append(step.argmin(axis=0))
-        cost = np.minimum(step.min(axis=0), np.iinfo(np.int64).max // 4)
+    for k in range(1, min(buckets, m)):
+        cost, least = _one_more(cost, before, bins, k)
+        back.append(least)
     at, out = m - 1, [m - 1]
     for b in reversed(back):
         at = int(b[at])
@@ -50,19 +50,47 @@ def boundaries(bins: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     return [int(bins[i]) for i in reversed(out)]
 
 
-def pack(lengths: DataFrame, id_col: str = "doc_id", length: str = "n_tokens", buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
+def _one_more(cost: np.ndarray, before: np.ndarray, bins: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Costs up to each bin from the k-th on with k boundaries before it, and the last of these.
+
+    The least choice for a bin is never before that for a smaller bin, so the choice
+    for the middle bin of an interval bounds those of both halves; all intervals of
+    one depth are done at once.
+    """
+    m = len(bins)
+    out, least = np.zeros(m, np.int64), np.zeros(m, np.int64)
+    low, high, first, last = (np.array([x]) for x in (k, m - 1, k - 1, m - 2))
+    while len(low):
+        mid = (low + high) // 2
+        end = np.minimum(last, mid - 1)
+        size = end - first + 1
+        at = np.concatenate([[0], np.cumsum(size)[:-1]])
+        i = np.arange(size.sum()) + np.repeat(first - at, size)
+        j = np.repeat(mid, size)
+        value = cost[i] + (before[j + 1] - before[i + 1]) * bins[j]
+        best = np.minimum.reduceat(value, at)
+        spot = np.minimum.reduceat(np.where(value == np.repeat(best, size), i, m), at)
+        out[mid], least[mid] = best, spot
+        low, high, first, last = np.concatenate([low, mid + 1]), np.concatenate([mid - 1, high]), np.concatenate([first, spot]), np.concatenate([spot, last])
+        some = low <= high
+        low, high, first, last = low[some], high[some], first[some], last[some]
+    return out, least
+
+
+def pack(lengths: DataFrame, id_col: str = "doc_id", length: str = "n_tokens", buckets: int = BUCKETS, budget: int = BUDGET, exact: bool = True) -> DataFrame:
     """id, length, bucket (from 0), pad_to and batch (from 0 in each bucket) of each row.
 
-    Null lengths count as 0, and a row of length 0 takes a padded bin like any
-    other; null ids come last; rows of equal id and length may change places.
+    Without exact, lengths are rounded up to bins before the boundaries are chosen.
+    Null lengths count as 0, and a row of length 0 takes a padded bin (exact: 1) like
+    any other; null ids come last; rows of equal id and length may change places.
     An empty table gives an empty result; other columns are dropped.
     """
     ship(lengths.sparkSession)
     rows = lengths.select(F.col(f"`{id_col}`").alias(id_col), F.greatest(F.coalesce(F.col(f"`{length}`").cast("long"), F.lit(0)), F.lit(0)).alias(length))
     rows = stash(rows, "lengths")  # read several times, made once
     total, longest = rows.agg(F.count("*"), F.max(length)).first()
-    width = BIN
-    while longest and longest > width * MOST_BINS:
+    width = 1 if exact else BIN
+    while not exact and longest and longest > width * MOST_BINS:
         width *= 2
     padded = F.greatest(F.lit(width), F.ceil(F.col(length) / width) * width).cast("long")
     bins = sorted((r.pad, r.n) for r in rows.groupBy(padded.alias("pad")).agg(F.count("*").alias("n")).collect())
@@ -89,7 +117,8 @@ def words(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFr
     return docs.select(F.col(f"`{id_col}`").alias(id_col), (F.size(parts) - ends).cast("long").alias("n_tokens"))
 
 
-def oracle(table: str = "documents", buckets: int = BUCKETS, budget: int = BUDGET) -> str:
+def oracle(table: str = "documents", buckets: int = BUCKETS, budget: int = BUDGET, exact: bool = False) -> str:
+    pad = "greatest(1, n_tokens)" if exact else "greatest(width, ceil(n_tokens / width) * width)"
     steps = "".join(
         f"""
 , d{k} as (
@@ -105,7 +134,7 @@ with l as (
 ), w as (
   select greatest({BIN}, {BIN} * pow(2, ceil(log2(greatest(1, max(n_tokens) / {BIN * MOST_BINS}::double)))))::bigint as width from l
 ), p as (
-  select doc_id, n_tokens, greatest(width, ceil(n_tokens / width) * width)::bigint as pad from l, w
+  select doc_id, n_tokens, {pad}::bigint as pad from l, w
 ), bins as (
   select row_number() over (order by pad) as i, pad, sum(n) over (order by pad)::bigint as before
   from (select pad, count(*) as n from p group by pad)

@@ -360,6 +360,24 @@ def test_boundaries_are_optimal(buckets):
     assert cost == best_boundaries(bins.tolist(), counts.tolist(), buckets) and edges == sorted(edges) and edges[-1] == bins[-1]
 
 
+def test_boundaries_are_optimal_over_exact_lengths(spark):
+    """One long text leaves the buckets of the others as fine as they were."""
+    rng = np.random.default_rng(5)
+    lengths = [*rng.choice(np.arange(1, 300), 12, replace=False).tolist() * 3, *rng.integers(1, 300, 5).tolist(), 1_000_000]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n_tokens long"), buckets=4).collect()
+    bins, counts = np.unique(lengths, return_counts=True)
+    assert sum(r.pad_to for r in rows) == best_boundaries(bins.tolist(), counts.tolist(), 4)
+    for m in (1, 2, 3, 9, 200):
+        bins, counts = np.sort(rng.choice(np.arange(1, 900), m, replace=False)), rng.integers(1, 9, m)
+        before = np.concatenate([[0], np.cumsum(counts)])
+        for buckets in (1, 2, 5, 8):
+            cost = before[1:] * bins
+            for _ in range(min(buckets, m) - 1):
+                cost = np.array([min((cost[i] + (before[j + 1] - before[i + 1]) * bins[j] for i in range(j)), default=10**12) for j in range(m)])
+            edges = np.array(packing.boundaries(bins, counts, buckets))
+            assert (edges[np.searchsorted(edges, bins)] * counts).sum() == cost[-1] and len(edges) == min(buckets, m)
+
+
 @pytest.mark.parametrize("per_range", [2, 1000])
 def test_packing(docs, empty, monkeypatch, per_range):
     monkeypatch.setattr(packing, "RANGE_ROWS", per_range)
