@@ -32,16 +32,18 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: of each group of linked documents, the one of the least id stays.
+    """Operator 6: of each group of linked rows, the one of the least id stays (then of the least hash of its text).
 
-    Rows of one id count as one document, of which the least row stays; rows
-    without an id can't be named by a group and stay.
+    A row is named by its id and text, so rows of one id with different texts are
+    grouped each by its own text; of rows that share both, the least stays.  Rows without an
+    id can't be named by a group and stay.
     """
-    groups = jaccard_join.near_duplicates(docs.where("doc_id is not null"))
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi")
-    rest = [c for c in docs.columns if c != "doc_id"]
-    one = kept.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", "row.*").select(*docs.columns)
+    key = F.struct("doc_id", F.coalesce(F.unhex(F.sha2("text", 256)), F.lit(b"")).alias("hash"))
+    keyed = docs.where("doc_id is not null").withColumn("row_key", key)
+    groups = jaccard_join.near_duplicates(keyed, id_col="row_key")
+    first = groups.where("row_key = component_id").select("row_key").distinct()
+    kept = keyed.join(first, "row_key", "left_semi")
+    one = kept.groupBy("row_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
     return one.unionByName(docs.where("doc_id is null"))
 
 

@@ -201,5 +201,14 @@ def test_pipeline(spark, tmp_path):
     assert len(clean & {r.doc_id for r in first.select("doc_id").collect()}) >= 0.95 * len(clean)
 
 
+def test_rows_of_one_id_are_grouped_by_their_texts(spark):
+    import corpus_pipeline
+
+    a, b = (" ".join(f"{w}{i}" for i in range(60)) for w in ("one", "two"))
+    rows = [(1, a, "x"), (7, a.replace("one3 ", "other "), "x"), (7, b, "y"), (7, b, "x"), (8, b, "x"), (9, None, "x"), (9, "", "x"), (None, a, "x")]
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([rows[0], rows[3], rows[5], rows[6], rows[7]], key=str)
+
+
 def test_held_out_of_null_ids(spark):
     assert spark.createDataFrame([(None,)], "doc_id long").select(held_out()).first()[0] is False
