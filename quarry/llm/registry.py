@@ -28,6 +28,10 @@ def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls.conversation_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op2_tool_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.conversation_messages(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.words(documents(spark, sf_dir)), exact=False)
 
@@ -77,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_tool_calls": tool_calls.ORACLE, "op3_packing": packing.oracle(), "op3_exact_packing": packing.oracle(exact=True), "op6_jaccard_join": jaccard_join.ORACLE, "op10_approximate_neighbours": approximate_neighbours.ORACLE}
+    return {"op2_tool_calls": tool_calls.ORACLE, "op2_tool_messages": tool_calls.MESSAGES_ORACLE, "op3_packing": packing.oracle(), "op3_exact_packing": packing.oracle(exact=True), "op6_jaccard_join": jaccard_join.ORACLE, "op10_approximate_neighbours": approximate_neighbours.ORACLE}

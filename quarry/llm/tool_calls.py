@@ -146,7 +146,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], positio
     Calls of one (scope, id) each keep a row and share level and results.  A null scope
     or id links with nothing (level 0, no results).  Null or broken arguments
     give the error "$: json"; a tool without a schema gives "$: unknown tool".
-    Results without a call are left out; see :func:`unmatched`.
+    Results are counted here; :func:`messages` has them, with those without a call.
     """
     edges = calls.where(F.col("after").isNotNull()).select("scope", "id", F.explode("after").alias("after")).where("after is not null")
     level = ordered(calls.where("scope is not null and id is not null"), edges, position)
@@ -165,6 +165,25 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], positio
     )
 
 
+def messages(linked: DataFrame, results: DataFrame) -> DataFrame:
+    """The messages of a chat: one row for each call, from :func:`link`, and one for each result, with its content.
+
+    Returns scope, id (of the call), role (call or result), level, linked and json;
+    a result's is {"content","id","role"}.  A result has its call's level; one without a call
+    is not linked and has none.  A call is linked if it has results.
+    """
+    linked = stash(linked, "linked")
+    calls = linked.select("scope", "id", F.lit("call").alias("role"), "level", (F.col("n_results") > 0).alias("linked"), "json")
+    text = F.concat(F.lit('{"content":'), _quoted("content"), F.lit(',"id":'), _quoted("id"), F.lit(',"role":"tool"}'))
+    named = F.col("scope").isNotNull() & F.col("id").isNotNull()
+    rows = results.select("scope", "id", F.lit("result").alias("role"), text.alias("json"))
+    level = linked.where(named).select("scope", "id", "level", F.lit(True).alias("there")).distinct()
+    joined = rows.where(named).join(level.hint("shuffle_hash"), ["scope", "id"], "left")
+    joined = joined.select("scope", "id", "role", "level", F.coalesce("there", F.lit(False)).alias("linked"), "json")
+    alone = rows.where(~named).select("scope", "id", "role", F.lit(None).cast(linked.schema["level"].dataType).alias("level"), F.lit(False).alias("linked"), "json")
+    return calls.unionByName(joined).unionByName(alone)
+
+
 def unmatched(calls: DataFrame, results: DataFrame) -> DataFrame:
     """Results whose call isn't there."""
     return results.join(calls.select("scope", "id").distinct().hint("merge"), ["scope", "id"], "left_anti")
@@ -183,8 +202,8 @@ TURN_SCHEMAS = {
 }
 
 
-def conversation_calls(turns: DataFrame) -> DataFrame:
-    """Links of a table of turns (conv_id, turn, role, text).
+def _conversation(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls and results of a table of turns (conv_id, turn, role, text).
 
     A turn of the user calls ``ask``, one of the system ``instruct``; the assistant's
     turn is the result of the turn before it.  A call uses the results of the
@@ -196,11 +215,22 @@ def conversation_calls(turns: DataFrame) -> DataFrame:
     calls = turns.where(F.col("role").isin("user", "system")).select(
         F.col("conv_id").cast("string").alias("scope"), ident(t).alias("id"), F.when(F.col("role") == "user", "ask").otherwise("instruct").alias("name"), args.alias("arguments"), F.array(ident(t - 1), ident(t - 2)).alias("after")
     )
-    results = turns.where(F.col("role") == "assistant").select(F.col("conv_id").cast("string").alias("scope"), ident(t - 1).alias("id"), F.col("text").alias("content"))
-    out = link(calls, results, TURN_SCHEMAS)
+    return calls, turns.where(F.col("role") == "assistant").select(F.col("conv_id").cast("string").alias("scope"), ident(t - 1).alias("id"), F.col("text").alias("content"))
+
+
+def conversation_calls(turns: DataFrame) -> DataFrame:
+    """:func:`link` of a table of turns."""
+    out = link(*_conversation(turns), TURN_SCHEMAS)
     return out.select(F.col("scope").cast("long").alias("conv_id"), "id", "name", F.col("level").cast("int").alias("level"), "n_results", F.array_join("errors", ";").alias("errors"), "valid", "json")
 
 
+def conversation_messages(turns: DataFrame) -> DataFrame:
+    """:func:`messages` of a table of turns."""
+    calls, results = _conversation(turns)
+    out = messages(link(calls, results, TURN_SCHEMAS), results)
+    return out.select(F.col("scope").cast("long").alias("conv_id"), "id", "role", F.col("level").cast("int").alias("level"), "linked", "json")
+
+
 ORACLE = """
 with recursive c as (
   select conv_id, turn, conv_id::varchar || ':' || turn::varchar as id, case role when 'user' then 'ask' else 'instruct' end as name, text
@@ -226,3 +256,16 @@ select e.conv_id, e.id, e.name, lev.level::int as level, coalesce(r.n, 0)::bigin
        '{"arguments":' || case when text is null then to_json({'turn': e.turn}) else to_json({'text': text, 'turn': e.turn}) end || ',"id":' || to_json(e.id) || ',"name":' || to_json(e.name) || '}' as json
 from e join lev using (conv_id, turn) left join r using (conv_id, turn)
 """
+
+MESSAGES_ORACLE = f"""
+with calls as ({ORACLE}), level as (
+  select distinct id, level from calls
+), r as (
+  select conv_id, conv_id::varchar || ':' || (turn - 1)::varchar as id, text from conversations where role = 'assistant'
+)
+select conv_id, id, 'call' as role, level, n_results > 0 as linked, json from calls
+union all
+select r.conv_id, r.id, 'result', level.level, level.id is not null,
+       '{{"content":' || coalesce(to_json(r.text)::varchar, 'null') || ',"id":' || to_json(r.id) || ',"role":"tool"}}'
+from r left join level using (id)
+"""

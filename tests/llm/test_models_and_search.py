@@ -164,6 +164,17 @@ def test_conversations_with_nulls(spark):
     assert {(r.id, r.level, r.n_results) for r in rows if r.conv_id == 1} == {("1:0", 0, 1), ("1:2", 1, 0)}
 
 
+def test_results_reach_the_output(spark):
+    """Each result once, with its content and its call's level; those without a call too."""
+    calls = spark.createDataFrame([("s", "a", "f", "{}", None), ("s", "b", "f", "{}", ["a"]), ("s", "b", "f", "{}", None), (None, "a", "f", "{}", None)], "scope string, id string, name string, arguments string, after array<string>")
+    rows = [("s", "b", 'say "é"\n{x}'), ("s", "b", None), ("s", "zz", "orphan"), (None, "a", "no scope"), ("t", "a", "far")]
+    results = spark.createDataFrame(rows, "scope string, id string, content string")
+    out = tool_calls.messages(tool_calls.link(calls, results, {"f": {}}), results).collect()
+    got = {(r.scope, r.id, json.loads(r.json)["content"], r.level, r.linked) for r in out if r.role == "result"}
+    assert got == {(*rows[0], 1, True), (*rows[1], 1, True), (*rows[2], None, False), (*rows[3], None, False), (*rows[4], None, False)}
+    assert sorted((r.id, r.level, r.linked) for r in out if r.role == "call") == [("a", 0, False), ("a", 0, False), ("b", 1, True), ("b", 1, True)] and len(out) == 9
+
+
 def test_levels_are_depths(spark):
     """Conversations' levels are depths, not turns; other dependencies by a plain version, with cycles and a long chain."""
     turns = spark.createDataFrame([(1, t, "user" if t not in (3, 7, 8) else "assistant", "x") for t in range(11)], "conv_id long, turn long, role string, text string")
