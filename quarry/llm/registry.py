@@ -72,7 +72,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     indexed = approximate_neighbours.index(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
-    return approximate_neighbours.nearest(indexed, indexed.where("vec_id % 50 = 0"), 5)
+    return approximate_neighbours.nearest(indexed, indexed.rows.where("vec_id % 50 = 0"), 5)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,4 +1,4 @@
-"""Operators 2, 4, 9, 10 and the pipeline."""
+"""Operators 2, 4, 9 and the pipeline."""
 
 import json
 import zlib
@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
-from quarry.llm import approximate_neighbours, quality_classifier, tool_calls, toxicity
+from quarry.llm import quality_classifier, tool_calls, toxicity
 from quarry.llm.common import held_out
 
 DATA = "/root/testdata/sf0.01"
@@ -81,45 +81,6 @@ def test_windows_cover_all_words():
         assert seen == set(range(a, b))
 
 
-def nearest_by_force(rows, queries, k):
-    usable = [(i, np.array(v, np.float64)) for i, v in rows if i is not None and v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v)]
-    out = []
-    for q, x in usable:
-        if q not in queries:
-            continue
-        best = sorted((-float(x @ y) / np.sqrt(float(x @ x) * float(y @ y)), i) for i, y in usable if i != q and len(x) == len(y))[:k]
-        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
-    return sorted(out)
-
-
-@pytest.mark.parametrize("block", [40, 10000])
-def test_neighbours(spark, monkeypatch, block):
-    monkeypatch.setattr(approximate_neighbours, "BLOCK_ROWS", block)
-    monkeypatch.setattr(approximate_neighbours, "BLOCK_QUERIES", 7)
-    rng = np.random.default_rng(3)
-    rows = [(int(i), rng.standard_normal(16).tolist(), 1) for i in range(300)]
-    rows[7:30] = [(i, rows[5][1], 1) for i in range(7, 30)]
-    rows += [(400, None, 1), (401, [0.0] * 16, 1), (402, [float("nan")] + [1.0] * 15, 1), (403, [None] + [1.0] * 15, 1), (None, [1.0] * 16, 1), (404, [1.0, 2.0], 1), (405, [2.0, 1.0], 1), (406, [], 1), (407, [1e200] * 2, 1)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
-    indexed = approximate_neighbours.index(df)
-    got = approximate_neighbours.nearest(indexed, indexed.where("vec_id % 25 = 0 or vec_id between 404 and 406"), 5).collect()
-    want = nearest_by_force([r[:2] for r in rows if r[0] != 407], {i for i in range(0, 500) if i % 25 == 0} | {404, 405}, 5)
-    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got if r.query_id != 407 and r.vec_id != 407)
-    assert [(q, i) for q, _, i, _ in got if q < 400] == [(q, i) for q, _, i, _ in want if q < 400]
-    assert np.allclose([s for q, _, _, s in got if q < 400], [s for q, _, _, s in want if q < 400])
-    assert approximate_neighbours.nearest(indexed.limit(0), indexed.limit(0)).count() == 0
-
-
-def test_bounds_hold():
-    rng = np.random.default_rng(1)
-    x, q = rng.standard_normal((2000, 64)), rng.standard_normal((20, 64))
-    codes, a, _ = approximate_neighbours.encode(x)
-    q /= np.linalg.norm(q, axis=1)[:, None]
-    low, high = approximate_neighbours.bounds(codes, a, q)
-    exact = q @ (x / np.linalg.norm(x, axis=1)[:, None]).T
-    assert ((low <= exact) & (exact <= high)).mean() > 0.9998 and (high - low).mean() < 1.2
-
-
 def test_tool_calls(spark):
     schema = {"type": "object", "required": ["x"], "additionalProperties": False, "properties": {"x": {"type": "integer", "minimum": 1}, "s": {"type": "string", "enum": ["a", "b"], "pattern": "^[a-z]$"}}}
     rows = [
