@@ -263,45 +263,69 @@ class MeanShift(Clusterer, ArrayEstimator):
 
 
 class AffinityPropagation(Clusterer, ArrayEstimator):
+    """Exemplars by message passing; ``converged_`` tells whether the messages settled.
+
+    Where they still swing after max_iter rounds, damping is raised half-way to 1
+    and as many rounds follow, SETTLE times at most.  Each cluster's exemplar is then the
+    member that is most similar to all of it.  Without exemplars every label is -1.
+    """
+
+    SETTLE = 4
     params = {"damping": 0.5, "max_iter": 200, "convergence_iter": 15, "preference": None, "max_rows": 2000, "random_state": 0}
 
+    def _messages(self, s: np.ndarray) -> np.ndarray:
+        """The rows that are exemplars after the last round."""
+        n = len(s)
+        rows, self.converged_ = np.arange(n), False
+        sent, free = np.zeros((n, n)), np.zeros((n, n))  # responsibilities and availabilities
+        damping, steady, last = self.damping, 0, np.zeros(n, bool)
+        for turn in range(self.max_iter * (1 + self.SETTLE)):
+            if turn and turn % self.max_iter == 0:
+                damping = (1 + damping) / 2
+            rival = free + s
+            best = rival.argmax(axis=1)
+            most = rival[rows, best]
+            rival[rows, best] = -np.inf
+            target = s - most[:, None]
+            target[rows, best] = s[rows, best] - rival.max(axis=1)
+            sent += (1 - damping) * (target - sent)
+            support = np.maximum(sent, 0)
+            support[rows, rows] = sent[rows, rows]
+            target = support.sum(axis=0) - support
+            own = target[rows, rows]
+            target = np.minimum(target, 0)
+            target[rows, rows] = own
+            free += (1 - damping) * (target - free)
+            now = free[rows, rows] + sent[rows, rows] > 0
+            steady = steady + 1 if turn and (now == last).all() else 0
+            last = now
+            if steady >= self.convergence_iter and now.any():
+                self.converged_ = True
+                break
+        return np.flatnonzero(last)
+
     def fit_arrays(self, x, y=None, w=None):
         n = len(x)
         s = -(pairwise(x, x) ** 2)
         np.fill_diagonal(s, np.median(s[~np.eye(n, dtype=bool)]) if self.preference is None else self.preference)
         s = s + 1e-12 * np.abs(s).max() * np.random.default_rng(self.random_state).standard_normal((n, n))
-        a, r, stable, last = np.zeros((n, n)), np.zeros((n, n)), 0, None
-        for _ in range(self.max_iter):
-            t = a + s
-            top = t.argmax(axis=1)
-            first = t[np.arange(n), top]
-            t[np.arange(n), top] = -np.inf
-            second = t.max(axis=1)
-            new = s - first[:, None]
-            new[np.arange(n), top] = s[np.arange(n), top] - second
-            r = self.damping * r + (1 - self.damping) * new
-            pos = np.maximum(r, 0)
-            np.fill_diagonal(pos, np.diag(r))
-            new = pos.sum(axis=0)[None] - pos
-            d = np.diag(new).copy()
-            new = np.minimum(new, 0)
-            np.fill_diagonal(new, d)
-            a = self.damping * a + (1 - self.damping) * new
-            ex = np.diag(a + r) > 0
-            stable = stable + 1 if last is not None and (ex == last).all() else 0
-            last = ex
-            if stable >= self.convergence_iter and ex.any():
-                break
-        who = np.flatnonzero(last)
-        if not len(who):
-            self.exemplars_, self.cluster_centers_, self.labels_ = np.zeros(0, int), np.zeros((0, x.shape[1])), np.full(n, -1.0)
-            return self
-        lab = s[:, who].argmax(axis=1)
-        lab[who] = np.arange(len(who))
-        self.exemplars_, self.cluster_centers_, self.labels_ = who, x[who], lab.astype(float)
+        who = self._messages(s)
+        if len(who):
+            near = s[:, who].argmax(axis=1)
+            near[who] = np.arange(len(who))
+            members = [np.flatnonzero(near == k) for k in range(len(who))]
+            who = np.unique([m[s[np.ix_(m, m)].sum(axis=0).argmax()] for m in members])
+            near = s[:, who].argmax(axis=1)
+            near[who] = np.arange(len(who))
+            self.labels_ = near.astype(float)
+        else:
+            self.labels_ = np.full(n, -1.0)
+        self.exemplars_, self.cluster_centers_ = who, x[who]
         return self
 
     def predict_arrays(self, x):
+        if not len(self.cluster_centers_):
+            return np.full(len(x), -1.0)
         return pairwise(x, self.cluster_centers_).argmin(axis=1).astype(float)
 
 

@@ -28,8 +28,12 @@ def tokens(text: str, lowercase: bool = True, stop_words: tuple = (), ngram_rang
     lo, hi = ngram_range
     if (lo, hi) == (1, 1):
         return words
-    runs = [F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i, n=n: F.array_join(F.slice(words, i, n), " ")) for n in range(lo, hi + 1)]
-    return F.concat(*[F.when(F.size(words) >= n, r).otherwise(F.array().cast("array<string>")) for n, r in zip(range(lo, hi + 1), runs, strict=True)])
+    return F.concat(*[F.when(F.size(words) >= n, _runs(words, n)).otherwise(F.array().cast("array<string>")) for n in range(lo, hi + 1)])
+
+
+def _runs(words: Column, n: int) -> Column:
+    """All runs of n words.  The function of one parameter gets the element; one of two would get its index too."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
 
 
 class CountVectorizer(BaseEstimator):
