@@ -52,7 +52,7 @@ SAMPLE_ROWS, SAMPLE_BYTES, ROUNDS = 16384, 1 << 24, 8
 #: Vectors that are searched exactly to choose the number of cells, and the share of their neighbours these must hold.
 SAMPLE_QUERIES, TARGET_RECALL = 128, 0.98
 #: Bytes of the vectors, and of the queries, of one block.
-BLOCK_BYTES, QUERY_BYTES = 1 << 23, 1 << 24
+BLOCK_BYTES, QUERY_BYTES = 1 << 21, 1 << 24
 #: Queries that are scored at once inside a block, and neighbours measured first for each wanted one.
 STEP, FIRST = 32, 4
 

@@ -1,20 +1,21 @@
 """Operator 8: token counts of whole texts under a byte-level BPE vocabulary.
 
-Arrow functions get batches, regroup the texts into byte-balanced work lists,
-cut long texts at boundaries that no pre-token crosses, and return lengths
-only.  A pre-token of the vocabulary's pattern never holds white space after a
-non-space character, so a cut before white space that follows a non-space
-character leaves the tokens as they are.
-
-Where the vocabulary's ranks lie beside it, a faster merge engine counts; its
-pattern classes every Unicode code point as the vocabulary's own library does
-(all 1,112,064 compared; tests/llm repeats it on a part), and special strings
-are split off first, one token each, as that library's default has it.
+Arrow functions cut long texts at safe boundaries, gather the pieces to batches of
+about BATCH_BYTES bytes each, have the vocabulary's own library encode a batch at
+once, and return lengths only.  Special strings inside texts are handled by
+the library, as its default has it.
+
+A boundary is safe before white space that follows a character which is none: a
+pre-token of the byte-level pattern never holds white space after another
+character, and whether white space belongs to the word after it doesn't depend on
+what stands before.  Where a vocabulary's file asks for anything else (a
+normaliser, another pre-tokeniser, a leading space, added strings that hold or take in
+white space), texts are not cut.
 """
 
 from __future__ import annotations
 
-import base64
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -26,11 +27,9 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import require, ship
 
-#: Characters of one piece of a long text, and bytes of one work list.
-PIECE_CHARS = 1 << 16
-BATCH_BYTES = 1 << 19
-#: The word pattern of the vocabulary, as its library states it (fixed value).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters from which on a piece ends at the next safe boundary, and bytes of one batch.
+PIECE_CHARS = 1 << 14
+BATCH_BYTES = 1 << 18
 _CUT = re.compile(r"(?<=\S)(?=[\x20\n\t])")
 
 
@@ -47,35 +46,45 @@ def pieces(text: str, most: int = PIECE_CHARS) -> Iterator[str]:
 
 
 @lru_cache(maxsize=4)
-def _engines(vocabulary: str):
+def _library(vocabulary: str):
+    """The vocabulary's tokeniser, and whether texts may be cut for it."""
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(vocabulary)
-    slow.no_truncation()
-    slow.no_padding()
-    special = tuple(t.content for t in slow.get_added_tokens_decoder().values())
-    ranks = vocabulary.removesuffix(".json") + ".tiktoken"
-    if not os.path.exists(ranks):
-        return slow, None, special
-    import tiktoken
+    library = Tokenizer.from_file(vocabulary)
+    library.no_truncation()
+    library.no_padding()
+    with open(vocabulary, encoding="utf-8") as f:
+        asked = json.load(f)
+    before = asked.get("pre_tokenizer") or {}
+    plain = asked.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    return library, plain and not any(t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"]) for t in asked.get("added_tokens", []))
 
-    with open(ranks, "rb") as f:
-        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return slow, tiktoken.Encoding("counts", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}), special
+
+def balanced(sizes: list[int], most: int = BATCH_BYTES) -> Iterator[slice]:
+    """Runs of pieces of about `most` bytes each; a larger piece ends its run."""
+    first = held = 0
+    for i, size in enumerate(sizes):
+        held += size
+        if held >= most:
+            yield slice(first, i + 1)
+            first, held = i + 1, 0
+    if first < len(sizes):
+        yield slice(first, len(sizes))
 
 
 def count_tokens(texts: list[str], vocabulary: str) -> list[int]:
     """Tokens of each text: the library's own counts, without begin, end or padding."""
-    slow, fast, special = _engines(vocabulary)
-    split = re.compile("|".join(map(re.escape, special))) if special else None
-    work = []
-    for text in texts:
-        parts = split.split(text) if split and any(s in text for s in special) else [text]
-        work.append((len(parts) - 1, [p for part in parts if part for p in pieces(part)]))
-    if fast is not None:
-        return [n + sum(len(fast.encode_ordinary(p)) for p in ps) for n, ps in work]
-    sizes = iter([len(e) for e in slow.encode_batch_fast([p for _, ps in work for p in ps], add_special_tokens=False)])
-    return [n + sum(next(sizes) for _ in ps) for n, ps in work]
+    library, cut = _library(vocabulary)
+    work, owner = [], []
+    for i, text in enumerate(texts):
+        for piece in pieces(text) if cut else [text]:
+            work.append(piece)
+            owner.append(i)
+    out = [0] * len(texts)
+    for run in balanced([len(p.encode()) for p in work]):
+        for i, coded in zip(owner[run], library.encode_batch_fast(work[run], add_special_tokens=False), strict=True):
+            out[i] += len(coded)
+    return out
 
 
 def token_counts(df: DataFrame, vocabulary: str, text: str = "text", id_col: str = "doc_id", limit: int = 1024) -> DataFrame:
@@ -83,7 +92,9 @@ def token_counts(df: DataFrame, vocabulary: str, text: str = "text", id_col: str
 
     Null texts count as empty (0 bytes, 0 tokens); null ids and repeated rows
     stay, one row each; an empty table gives an empty result; other columns
-    are dropped, whatever their names.
+    are dropped, whatever their names.  A very long text is counted in pieces; a
+    run without a safe boundary (one kind of character, or white space alone) is one
+    piece whatever its length, and takes the library's memory for its tokens.
     """
     ship(df.sparkSession)
 
@@ -91,19 +102,8 @@ def token_counts(df: DataFrame, vocabulary: str, text: str = "text", id_col: str
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         for b in batches:
             texts = [x or "" for x in b.column(1).to_pylist()]
-            tokens: list[int] = []
-            sizes: list[int] = []
-            work, held = [], 0
-            for x in texts:
-                size = len(x.encode("utf-8", "surrogatepass"))
-                sizes.append(size)
-                work.append(x)
-                held += size
-                if held >= BATCH_BYTES:
-                    tokens += count_tokens(work, vocabulary)
-                    work, held = [], 0
-            tokens += count_tokens(work, vocabulary)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64())], names=["id", "n_bytes", "n_tokens"])
+            sizes = [len(x.encode()) for x in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(count_tokens(texts, vocabulary), pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
     plain = require(df, id_col, text)
     kind = plain.schema[0].dataType.simpleString()

@@ -7,8 +7,11 @@ import hashlib
 import itertools
 import lzma
 import re
+import sys
+import subprocess
 import urllib.parse
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -67,21 +70,45 @@ def test_token_counts(docs, empty):
     assert token_counts.token_counts(empty, path).count() == 0
 
 
-def test_token_engines_class_characters_alike():
-    slow, fast, _ = token_counts._engines(public_tokenizers.path("byte_bpe_50k.json"))
-    for c in [*range(0x3000), *range(0x3000, 0x110000, 211)]:
-        if not 0xD800 <= c < 0xE000:
-            t = f"a{chr(c)}b {chr(c)}1 {chr(c)}{chr(c)} \n{chr(c)}"
-            assert len(slow.encode(t, add_special_tokens=False)) == len(fast.encode_ordinary(t)), hex(c)
+def test_token_counts_of_all_kinds_of_characters():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, cut = token_counts._library(path)
+    assert cut
+    texts = [f"a{chr(c)}b {chr(c)}1 {chr(c)}{chr(c)} \n{chr(c)}" for c in [*range(0x3000), *range(0x3000, 0x110000, 211)] if not 0xD800 <= c < 0xE000]
+    want = [len(library.encode(t, add_special_tokens=False)) for t in texts]
+    assert token_counts.count_tokens(texts, path) == want
+    # in one text, and cut into pieces of any size
+    for most in (1, 50):
+        whole = "".join(texts[:4000])
+        assert sum(len(library.encode(p, add_special_tokens=False)) for p in token_counts.pieces(whole, most)) == len(library.encode(whole, add_special_tokens=False))
 
 
 @pytest.mark.parametrize("most", [1, 7, 100])
 def test_pieces_of_long_texts_add_up(most):
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    _, fast, _ = token_counts._engines(path)
-    text = "Some words, 12 numbers  and\n\n\twhite   space's end " * 9
+    library, _ = token_counts._library(public_tokenizers.path("byte_bpe_50k.json"))
+    text = "Some words, 12 numbers  and\n\n\twhite   space's end <|endoftext|> " * 9
     assert "".join(token_counts.pieces(text, most)) == text
-    assert sum(len(fast.encode_ordinary(p)) for p in token_counts.pieces(text, most)) == len(fast.encode_ordinary(text))
+    count = lambda t: len(library.encode(t, add_special_tokens=False))
+    assert sum(count(p) for p in token_counts.pieces(text, most)) == count(text)
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "a" + "\n" * 1_500_000, "ab" * 500_000, "<|endoftext|>" * 50_000])
+def test_long_runs_without_a_boundary_are_counted(text):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, _ = token_counts._library(path)
+    assert token_counts.count_tokens([text, "x"], path) == [len(library.encode(text, add_special_tokens=False)), 1]
+
+
+def test_batches_are_balanced_by_bytes():
+    runs = list(token_counts.balanced([5, 5, 5, 30, 1, 1], 10))
+    assert [(r.start, r.stop) for r in runs] == [(0, 2), (2, 4), (4, 6)] and list(token_counts.balanced([])) == []
+
+
+def test_texts_are_not_cut_for_other_vocabularies():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, cut = token_counts._library(path)
+    text = "Some words here. " * 3000
+    assert not cut and token_counts.count_tokens([text], path) == [len(library.encode(text, add_special_tokens=False))]
 
 
 def shingles(text):
@@ -146,6 +173,122 @@ def brute_secrets(text):
     return secret_scans.find_in_text(text)[0]
 
 
+def spans_by_hand(text):
+    """The base spans by walking the characters, without patterns."""
+    letters, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    low = "".join(chr(ord(c) + 32) if c in letters else c for c in text)
+    out, i = [], 0
+    while i < len(text):
+        end = None
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(word, i):
+                at = i + len(word)
+                ways = [at + 1, at] if text[at : at + 1] in ("'", '"') else [at]
+                for at in ways:
+                    while text[at : at + 1] == " ":
+                        at += 1
+                    if text[at : at + 1] not in (":", "="):
+                        continue
+                    at += 1
+                    while text[at : at + 1] == " ":
+                        at += 1
+                    at += text[at : at + 1] in ("'", '"') and at < len(text)
+                    stop = at
+                    while stop < len(text) and text[stop] in letters + letters.lower() + digits + "+/_.=-":
+                        stop += 1
+                    if stop > at:
+                        end = stop, stop - at
+                        break
+                break
+        if end and end[1] >= 6:
+            out.append(("assign", i, end[0]))
+        i = end[0] if end else i + 1
+    for kind, head, allowed, least in (("access", "AKIA", letters + digits, 20), ("hex", "", digits + "abcdef", 24)):
+        i = 0
+        while i < len(text):
+            stop = i + len(head)
+            if text.startswith(head, i):
+                while stop < len(text) and text[stop] in allowed:
+                    stop += 1
+            if text.startswith(head, i) and stop > i + len(head):
+                out += [(kind, i, stop)] if stop - i >= least else []
+                i = stop
+            else:
+                i += 1
+    return sorted(out, key=lambda x: (x[1], ["assign", "access", "hex"].index(x[0])))
+
+
+def test_base_spans_match_a_walk_by_hand(spark):
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if r.text]
+    rng = np.random.default_rng(4)
+    bits = ["password", "PassWD", "secret", "ToKeN", "api_key", "APIKEY", "'", '"', " ", "  ", ":", "=", "==", "AKIA", "AKIAAKIA", "ABCDEFGHIJ12345678", "0a1b2c", "deadbeefdeadbeefdeadbeef", "x", "-.", "\n", "é", "hunter22"]
+    docs += ["".join(rng.choice(bits, rng.integers(1, 14))) for _ in range(4000)]
+    for text in docs:
+        got = [(k, a, b) for k, a, b, depth, _ in secret_scans.find_in_text(text)[0] if depth == 0]
+        assert got == spans_by_hand(text), text
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    for r in secret_scans.digest(secret_scans.find_secrets(table)).collect():
+        want = spans_by_hand(docs[r.doc_id])
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for k, _, _ in want) for kind in secret_scans.KINDS)
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+
+
+@pytest.mark.parametrize(
+    "data",
+    [
+        b"\xff\xfe\x80 " + b"api_key=sekret123456" + b"\xc3\x28",
+        "\ufeffapi_key=sekret123456 and more".encode("utf-16-le"),
+        "api_key=sekret123456 and more".encode("utf-16-be"),
+        bytes(range(256)) + b"api_key=sekret123456",
+        gzip.compress(b"\x00\xff api_key=sekret123456 \xfe"),
+    ],
+)
+def test_bytes_that_are_no_text_are_scanned(data):
+    for run in (base64.b64encode(data).decode(), "".join(f"%{b:02X}" for b in data)):
+        text = "é see " + run
+        raw = text.encode()
+        assert any(k == "assign" and 6 <= a < b <= len(text) for k, a, b, *_ in brute_secrets(text))
+        assert secret_scans.suspects(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+
+
+def test_a_bad_byte_hides_nothing_around_it():
+    text = "%FF%70%61%73%73%77%6F%72%64%3Dhunter22"
+    assert [(k, a, b) for k, a, b, *_ in brute_secrets(text)] == [("assign", 3, len(text))]
+
+
+def test_deep_nesting_ends():
+    inner = SECRET.encode()
+    for _ in range(1200):
+        inner = gzip.compress(inner, 1, mtime=0)
+    text = base64.b64encode(inner).decode()
+    (kind, a, b, depth, _), *_ = brute_secrets("see " + text)
+    assert kind == "assign" and depth == 1201 and 4 == a
+
+
+def test_equal_layers_are_worked_on_once(monkeypatch):
+    """A stream that unfolds to itself, as a self-reproducing archive does, ends; so do many equal runs at one place."""
+    data = gzip.compress(b"same " * 5)
+    monkeypatch.setattr(secret_scans.Stream, "chunks", lambda self: (setattr(self, "rest", b""), iter([data]))[1])
+    found, layers, _ = secret_scans.find_in_text("see " + base64.b64encode(data).decode())
+    assert layers < 12 and not found
+
+
+def test_streams_of_any_size_are_scanned_in_bounded_memory():
+    """Three streams of 44 MB each in one text, with secrets at their ends, in 500 MB."""
+    code = """
+import bz2, base64, resource, sys
+sys.path.insert(0, sys.argv[1])
+from quarry.llm import secret_scans
+import gzip
+block = (b"plain words in a line\\n" * 50000)
+text = " ".join(base64.b64encode(gzip.compress(block * 40 + b"api_key=sekret12345%d\\n" % i)).decode() for i in range(3))
+found, _, wrapped = secret_scans.find_in_text(text)
+print(len(found), wrapped, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code, str(Path(__file__).resolve().parents[2])], capture_output=True, text=True, check=True).stdout.split()
+    assert out[:2] == ["3", "0"] and int(out[2]) < 500
+
+
 def test_secret_scan_matches_unfiltered_scan(docs, empty):
     out = secret_scans.find_secrets(docs)
     got = sorted((str(r.doc_id), [(s.kind, s.start, s.end, s.depth, s.via) for s in r.spans]) for r in out.collect())
