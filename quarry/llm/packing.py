@@ -3,14 +3,14 @@
 The lengths of all rows go to one histogram of the exact lengths: n of them take
 n * n / 2 tokens at least, so it stays small.  Dynamic programming over it, by divide
 and conquer, finds the bucket boundaries for which the padding of every row to its
-bucket's boundary is least in total.  (The query with SQL rounds the lengths up to at
-most MOST_BINS bins first, as its SQL does; so one long text coarsens all.)  In
-a bucket, rows form batches in the order of their ids; a batch holds as many rows
-as the token budget allows at the padded length, one at least.
-
-The order within a bucket is made without gathering it: ids are cut into
-ranges, rows are numbered in their (bucket, range), and the counts of the ranges
-before are added.
+bucket's boundary is least in total.  In a bucket, rows form batches in the order
+of their ids; a batch holds as many rows as the token budget allows at the padded
+length, one at least.
+
+The order within a bucket is made without gathering it: rows are dealt by ranges of
+(bucket, id, length, slot), where the slot is the row's own number, so no bucket and no
+id, null ids among them, has to fit one task.  The sorted rows are written with
+their places, and the rows of the ranges before are added.
 """
 
 import numpy as np
@@ -19,13 +19,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.llm.common import ship, stash
-from quarry.llm.document_fingerprints import _bucket, _edges
 
 BUCKETS, BUDGET = 8, 16384
-#: Least width of a bin and the most bins; longer texts double the width.
-BIN, MOST_BINS = 32, 1024
-#: Rows of one range of ids.
-RANGE_ROWS = 20_000
+#: Bits of a row's place within its partition.
+PLACE_BITS = 33
 
 
 def boundaries(bins: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
@@ -77,37 +74,33 @@ def _one_more(cost: np.ndarray, before: np.ndarray, bins: np.ndarray, k: int) ->
     return out, least
 
 
-def pack(lengths: DataFrame, id_col: str = "doc_id", length: str = "n_tokens", buckets: int = BUCKETS, budget: int = BUDGET, exact: bool = True) -> DataFrame:
+def pack(lengths: DataFrame, id_col: str = "doc_id", length: str = "n_tokens", buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """id, length, bucket (from 0), pad_to and batch (from 0 in each bucket) of each row.
 
-    Without exact, lengths are rounded up to bins before the boundaries are chosen.
-    Null lengths count as 0, and a row of length 0 takes a padded bin (exact: 1) like
-    any other; null ids come last; rows of equal id and length may change places.
-    An empty table gives an empty result; other columns are dropped.
+    Null and negative lengths count as 0, and a row of length 0 is padded to 1 at least.  Null ids
+    come last; rows of one id go by length; rows of equal id and length may change
+    places.  One id, or null, may have any share of the rows.  An empty table gives an empty result; other columns
+    are dropped.
     """
     ship(lengths.sparkSession)
     rows = lengths.select(F.col(f"`{id_col}`").alias(id_col), F.greatest(F.coalesce(F.col(f"`{length}`").cast("long"), F.lit(0)), F.lit(0)).alias(length))
-    rows = stash(rows, "lengths")  # read several times, made once
-    total, longest = rows.agg(F.count("*"), F.max(length)).first()
-    width = 1 if exact else BIN
-    while not exact and longest and longest > width * MOST_BINS:
-        width *= 2
-    padded = F.greatest(F.lit(width), F.ceil(F.col(length) / width) * width).cast("long")
-    bins = sorted((r.pad, r.n) for r in rows.groupBy(padded.alias("pad")).agg(F.count("*").alias("n")).collect())
-    edges = boundaries(np.array([b for b, _ in bins], np.int64), np.array([n for _, n in bins], np.int64), buckets) or [width]
+    rows = stash(rows.withColumn("__slot", F.monotonically_increasing_id()), "lengths")  # read several times, made once
+    bins = sorted((r.pad, r.n) for r in rows.groupBy(F.greatest(F.lit(1), length).alias("pad")).agg(F.count("*").alias("n")).collect())
+    edges = boundaries(np.array([b for b, _ in bins], np.int64), np.array([n for _, n in bins], np.int64), buckets) or [1]
     bucket = F.lit(len(edges) - 1)
     for i in range(len(edges) - 2, -1, -1):
         bucket = F.when(F.col(length) <= edges[i], i).otherwise(bucket)
-    ordered = rows.withColumn("id", F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1))).withColumn("bucket", bucket.cast("int"))
-    ranged = ordered.withColumn("range", _bucket(_edges(ordered.select("id"), (total or 0) // RANGE_ROWS)))
-    counts = ranged.groupBy("bucket", "range").agg(F.count("*").alias("n"))
-    ahead = counts.withColumn("ahead", F.sum("n").over(W.partitionBy("bucket").orderBy("range").rowsBetween(W.unboundedPreceding, -1)))
-    nth = F.row_number().over(W.partitionBy("bucket", "range").orderBy("id", length)) - 1
-    numbered = ranged.withColumn("nth", nth).join(ahead.select("bucket", "range", "ahead"), ["bucket", "range"])
-    pads = F.array(*[F.lit(e).cast("long") for e in edges])
-    out = numbered.withColumn("pad_to", F.element_at(pads, F.col("bucket") + 1))
-    room = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.col("pad_to")))
-    return out.select(id_col, length, "bucket", "pad_to", F.floor((F.col("nth") + F.coalesce("ahead", F.lit(0))) / room).cast("long").alias("batch"))
+    order = ["__bucket", F.col(id_col).asc_nulls_last(), length, "__slot"]
+    dealt = rows.withColumn("__bucket", bucket.cast("int")).repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = stash(dealt.withColumn("__place", F.monotonically_increasing_id()).drop("__slot"), "ordered")
+    dealt = dealt.withColumn("__part", F.shiftright("__place", PLACE_BITS)).withColumn("__place", F.col("__place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)))
+    runs = dealt.groupBy("__bucket", "__part").agg(F.count("*").alias("n"), F.min("__place").alias("__first"))  # a row for each bucket in each partition
+    before = F.sum("n").over(W.partitionBy("__bucket").orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
+    runs = runs.select("__bucket", "__part", (F.coalesce(before, F.lit(0)) - F.col("__first")).alias("__move"))
+    out = dealt.join(runs, ["__bucket", "__part"]).withColumn("__pad", F.element_at(F.array(*[F.lit(e).cast("long") for e in edges]), F.col("__bucket") + 1))
+    room = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.col("__pad")))
+    batch = F.floor((F.col("__place") + F.col("__move")) / room).cast("long")
+    return out.select(id_col, length, F.col("__bucket").alias("bucket"), F.col("__pad").alias("pad_to"), batch.alias("batch"))
 
 
 def words(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -117,8 +110,7 @@ def words(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFr
     return docs.select(F.col(f"`{id_col}`").alias(id_col), (F.size(parts) - ends).cast("long").alias("n_tokens"))
 
 
-def oracle(table: str = "documents", buckets: int = BUCKETS, budget: int = BUDGET, exact: bool = False) -> str:
-    pad = "greatest(1, n_tokens)" if exact else "greatest(width, ceil(n_tokens / width) * width)"
+def oracle(table: str = "documents", buckets: int = BUCKETS, budget: int = BUDGET) -> str:
     steps = "".join(
         f"""
 , d{k} as (
@@ -131,10 +123,8 @@ def oracle(table: str = "documents", buckets: int = BUCKETS, budget: int = BUDGE
     return f"""
 with l as (
   select doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as n_tokens from {table}
-), w as (
-  select greatest({BIN}, {BIN} * pow(2, ceil(log2(greatest(1, max(n_tokens) / {BIN * MOST_BINS}::double)))))::bigint as width from l
 ), p as (
-  select doc_id, n_tokens, {pad}::bigint as pad from l, w
+  select doc_id, n_tokens, greatest(1, n_tokens)::bigint as pad from l
 ), bins as (
   select row_number() over (order by pad) as i, pad, sum(n) over (order by pad)::bigint as before
   from (select pad, count(*) as n from p group by pad)

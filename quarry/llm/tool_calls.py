@@ -24,47 +24,90 @@ def canonical_json(json: Column) -> Column:
     return F.to_json(F.try_parse_json(json))
 
 
-def schema_errors(value: Column, schema: dict, at: str = "$") -> Column:
+def schema_errors(value: Column, schema: dict | bool, at: str = "$") -> Column:
     """An array of the places, as text, where a variant breaks a JSON schema.
 
-    Read: type, required, properties, additionalProperties (false), enum, minLength,
-    maxLength, minimum, maximum, pattern.
+    Read are KEYWORDS; NOTES say nothing of validity and are passed over; any other keyword is
+    refused with a ValueError, so that no rule is silently left out.  An integer is a
+    number without a fractional part, so 1.0 is one.  items holds for all items of an array.
     """
+    none = F.array().cast("array<string>")
+    if isinstance(schema, bool):
+        return none if schema else F.array(F.lit(f"{at}: false"))
+    unknown = set(schema) - KEYWORDS - NOTES
+    if unknown:
+        raise ValueError(f"{at}: schema keywords that are not read: {', '.join(sorted(unknown))}")
     kind = F.schema_of_variant(value)
+    text, number, json = F.try_variant_get(value, "$", "string"), F.try_variant_get(value, "$", "double"), F.to_json(value)
+    is_text, is_number, is_array, is_object = (kind.rlike(_TYPES[t]) for t in ("string", "number", "array", "object"))
+    whole = {"integer": is_number & (number == F.rint(number))}
+    # branches are guarded: what is no array, or no object, has size 0
+    size = F.when(is_array, F.json_array_length(json)).when(is_object, F.size(F.json_object_keys(json))).otherwise(0)
     checks: list[tuple[str, Column]] = []
     if "type" in schema:
         names = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
-        checks.append((f"{at}: type", kind.rlike("|".join(_TYPES[n] for n in names))))
+        fits = F.lit(False)
+        for n in names:
+            fits = fits | whole.get(n, kind.rlike(_TYPES[n]))
+        checks.append(("type", fits))
     if "enum" in schema:
-        checks.append((f"{at}: enum", F.to_json(value).isin([_json(e) for e in schema["enum"]])))
-    text, number = F.try_variant_get(value, "$", "string"), F.try_variant_get(value, "$", "double")
-    is_text, is_number = kind.rlike(_TYPES["string"]), kind.rlike(_TYPES["number"])
-    for key, ok, when in (
-        ("minLength", lambda v: F.length(text) >= v, is_text),
-        ("maxLength", lambda v: F.length(text) <= v, is_text),
-        ("pattern", lambda v: text.rlike(v), is_text),
-        ("minimum", lambda v: number >= v, is_number),
-        ("maximum", lambda v: number <= v, is_number),
-    ):
-        if key in schema:
-            checks.append((f"{at}: {key}", ~when | ok(schema[key])))
-    out = [F.when(F.coalesce(ok, F.lit(False)), F.lit(None).cast("string")).otherwise(F.lit(name)) for name, ok in checks]
-    errors = F.array_compact(F.array(*out)) if out else F.array().cast("array<string>")
-    is_object = kind.rlike(_TYPES["object"])
-    parts = [errors]
+        checks.append(("enum", json.isin([_json(e) for e in schema["enum"]])))
+    if "const" in schema:
+        checks.append(("const", json == _json(schema["const"])))
+    rules = {
+        "minLength": (is_text, lambda v: F.length(text) >= v),
+        "maxLength": (is_text, lambda v: F.length(text) <= v),
+        "pattern": (is_text, lambda v: text.rlike(v)),
+        "minimum": (is_number, lambda v: number >= v),
+        "maximum": (is_number, lambda v: number <= v),
+        "exclusiveMinimum": (is_number, lambda v: number > v),
+        "exclusiveMaximum": (is_number, lambda v: number < v),
+        "multipleOf": (is_number, lambda v: number / v == F.rint(number / v)),
+        "minItems": (is_array, lambda v: size >= v),
+        "maxItems": (is_array, lambda v: size <= v),
+        "minProperties": (is_object, lambda v: size >= v),
+        "maxProperties": (is_object, lambda v: size <= v),
+    }
+    checks += [(name, ~when | holds(schema[name])) for name, (when, holds) in rules.items() if name in schema]
+    valid = lambda s: F.size(schema_errors(value, s, at)) == 0
+    count = lambda name: sum((valid(s).cast("int") for s in schema[name]), F.lit(0))
+    checks += [(name, test(count(name))) for name, test in (("anyOf", lambda n: n >= 1), ("oneOf", lambda n: n == 1)) if name in schema]
+    if "not" in schema:
+        checks.append(("not", ~valid(schema["not"])))
+    out = [F.when(F.coalesce(ok, F.lit(False)), F.lit(None).cast("string")).otherwise(F.lit(f"{at}: {name}")) for name, ok in checks]
+    parts = [F.array_compact(F.array(*out)) if out else none]
+    parts += [schema_errors(value, s, at) for s in schema.get("allOf", [])]
     for name in schema.get("required", []):
         has = F.try_variant_get(value, f"$['{name}']", "variant").isNotNull()
-        parts.append(F.when(~is_object | has, F.array().cast("array<string>")).otherwise(F.array(F.lit(f"{at}.{name}: required"))))
+        parts.append(F.when(~is_object | has, none).otherwise(F.array(F.lit(f"{at}.{name}: required"))))
     for name, inner in schema.get("properties", {}).items():
         child = F.try_variant_get(value, f"$['{name}']", "variant")
-        parts.append(F.when(child.isNull(), F.array().cast("array<string>")).otherwise(schema_errors(child, inner, f"{at}.{name}")))
-    if schema.get("additionalProperties") is False:
-        keys = F.json_object_keys(F.to_json(value))
-        more = F.array_except(keys, F.array(*[F.lit(k) for k in schema.get("properties", {})]).cast("array<string>"))
-        parts.append(F.when(is_object & (F.size(more) > 0), F.array(F.lit(f"{at}: additionalProperties"))).otherwise(F.array().cast("array<string>")))
+        parts.append(F.when(child.isNull(), none).otherwise(schema_errors(child, inner, f"{at}.{name}")))
+    if "items" in schema:
+        items = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array().cast("array<variant>"))
+        wrong = F.transform(items, lambda item: schema_errors(item, schema["items"], f"{at}[]"))
+        parts.append(F.when(is_array, F.array_distinct(F.flatten(wrong))).otherwise(none))
+    if schema.get("additionalProperties", True) is not True:
+        known = F.array(*[F.lit(k) for k in schema.get("properties", {})]).cast("array<string>")
+        more = F.when(is_object, F.array_except(F.json_object_keys(json), known)).otherwise(none)
+        if schema["additionalProperties"] is False:
+            parts.append(F.when(F.size(more) > 0, F.array(F.lit(f"{at}: additionalProperties"))).otherwise(none))
+        else:
+            fields = F.try_variant_get(value, "$", "map<string,variant>")
+            inner = F.transform(more, lambda name: schema_errors(fields[name], schema["additionalProperties"], f"{at}.*"))
+            parts.append(F.array_distinct(F.flatten(inner)))
     return F.concat(*parts)
 
 
+#: Keywords of a schema that are read, and those that say nothing of validity (fixed names).
+KEYWORDS = {"type", "enum", "const", "minLength", "maxLength", "pattern", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "minItems", "maxItems", "minProperties", "maxProperties"} | {
+    "anyOf", "oneOf", "allOf", "not", "required", "properties", "items", "additionalProperties",
+}
+NOTES = {"title", "description", "default", "examples", "deprecated", "readOnly", "writeOnly", "$comment", "$schema", "$id"}
+#: All joins by identifier are shuffled hash joins.
+HASH = "shuffle_hash"
+
+
 def _json(value) -> str:
     import json
 
@@ -81,12 +124,12 @@ def _depths(known: DataFrame, chosen: DataFrame, largest: int) -> DataFrame:
     Pointers are doubled: after k rounds each skips 2**k calls.  A chain as long as
     the largest scope is endless.
     """
-    at = known.join(chosen.hint("merge"), ["scope", "id"], "left").withColumn("level", F.col("ptr").isNotNull().cast("long"))
+    at = known.join(chosen.hint(HASH), ["scope", "id"], "left").withColumn("level", F.col("ptr").isNotNull().cast("long"))
     at, hops = stash(at, "pointers"), 1
     while hops < 2 * largest and not at.where("ptr is not null").isEmpty():
         hops *= 2
         there = at.select("scope", F.col("id").alias("ptr"), F.col("ptr").alias("far"), F.col("level").alias("more"))
-        moved = at.where("ptr is not null").join(there.hint("merge"), ["scope", "ptr"]).select("scope", "id", F.col("far").alias("ptr"), (F.col("level") + F.col("more")).alias("level"))
+        moved = at.where("ptr is not null").join(there.hint(HASH), ["scope", "ptr"]).select("scope", "id", F.col("far").alias("ptr"), (F.col("level") + F.col("more")).alias("level"))
         at = stash(moved.unionByName(at.where("ptr is null")), "pointers")
     return at.select("scope", "id", F.when(F.col("ptr").isNull(), F.col("level")).alias("level"))
 
@@ -100,43 +143,23 @@ def levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
     Chains are measured in as many joins as their length has binary digits.
     """
     known = stash(calls.select("scope", "id").distinct(), "calls")
-    edges = edges.join(known.hint("merge"), ["scope", "id"], "left_semi").join(known.withColumnRenamed("id", "after").hint("merge"), ["scope", "after"], "left_semi")
+    edges = edges.join(known.hint(HASH), ["scope", "id"], "left_semi").join(known.withColumnRenamed("id", "after").hint(HASH), ["scope", "after"], "left_semi")
     edges = stash(edges.select("scope", "id", "after").distinct(), "edges")
     largest = known.groupBy("scope").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     chosen = edges.groupBy("scope", "id").agg(F.max(F.struct(F.length("after"), "after"))["after"].alias("ptr"))
     while True:
         depths = _depths(known, chosen, largest)
         top = F.coalesce("level", F.lit(_ENDLESS))
-        best = edges.join(depths.select("scope", F.col("id").alias("after"), top.alias("top")).hint("merge"), ["scope", "after"])
+        best = edges.join(depths.select("scope", F.col("id").alias("after"), top.alias("top")).hint(HASH), ["scope", "after"])
         best = best.groupBy("scope", "id").agg(F.max(F.struct("top", "after")).alias("best"))
-        higher = best.join(depths.hint("merge"), ["scope", "id"]).where(F.col("best.top") >= F.col("level"))
+        higher = best.join(depths.hint(HASH), ["scope", "id"]).where(F.col("best.top") >= F.col("level"))
         higher = stash(higher.select("scope", "id", F.col("best.after").alias("other")), "higher")
         if higher.isEmpty():
             return depths
-        chosen = stash(chosen.join(higher.hint("merge"), ["scope", "id"], "left").select("scope", "id", F.coalesce("other", "ptr").alias("ptr")), "chosen")
-
+        chosen = stash(chosen.join(higher.hint(HASH), ["scope", "id"], "left").select("scope", "id", F.coalesce("other", "ptr").alias("ptr")), "chosen")
 
-def ordered(calls: DataFrame, edges: DataFrame, position: str | None) -> DataFrame:
-    """(scope, id, level) such that (level, id) is a topological order.
 
-    In scopes where every dependency has a smaller position than what depends
-    on it, positions are levels already; only other scopes, and all without a
-    position column, need :func:`levels`.  Of several rows of one id the
-    least position counts.
-    """
-    if position is None:
-        return levels(calls, edges)
-    at = stash(calls.groupBy("scope", "id").agg(F.min(F.col(position).cast("long")).alias("at")), "positions")
-    both = edges.join(at.hint("merge"), ["scope", "id"]).join(at.select("scope", F.col("id").alias("after"), F.col("at").alias("before")).hint("merge"), ["scope", "after"])
-    wrong = stash(both.where("not coalesce(before < at, false)").select("scope").distinct(), "scopes")
-    plain = at.select("scope", "id", F.col("at").alias("level"))
-    if wrong.isEmpty():
-        return plain
-    swept = levels(calls.join(wrong.hint("merge"), ["scope"], "left_semi"), edges.join(wrong.hint("merge"), ["scope"], "left_semi"))
-    return plain.join(wrong.hint("merge"), ["scope"], "left_anti").unionByName(swept.select("scope", "id", F.col("level").cast("long").alias("level")))
-
-
-def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], position: str | None = None) -> DataFrame:
+def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """One row for each call: its level, results, validity and canonical JSON.
 
     calls: scope, id, name, arguments (JSON text), after (array of call ids, may be null).
@@ -149,7 +172,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], positio
     Results are counted here; :func:`messages` has them, with those without a call.
     """
     edges = calls.where(F.col("after").isNotNull()).select("scope", "id", F.explode("after").alias("after")).where("after is not null")
-    level = ordered(calls.where("scope is not null and id is not null"), edges, position)
+    level = levels(calls.where("scope is not null and id is not null"), edges)
     counts = results.where("scope is not null and id is not null").groupBy("scope", "id").agg(F.count("*").alias("n_results"))
     value = F.try_parse_json(F.col("arguments"))
     errors = F.array(F.lit("$: unknown tool"))
@@ -157,7 +180,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict], positio
         errors = F.when(F.col("name") == name, schema_errors(value, schema)).otherwise(errors)
     errors = F.when(value.isNull(), F.array(F.lit("$: json"))).otherwise(errors)
     rows = calls.select("scope", "id", "name", "arguments").withColumn("errors", errors)
-    joined = rows.join(level.hint("merge"), ["scope", "id"], "left").join(counts.hint("merge"), ["scope", "id"], "left")
+    joined = rows.join(level.hint(HASH), ["scope", "id"], "left").join(counts.hint(HASH), ["scope", "id"], "left")
     alone = F.col("scope").isNull() | F.col("id").isNull()
     text = F.concat(F.lit('{"arguments":'), F.coalesce(canonical_json(F.col("arguments")), F.lit("null")), F.lit(',"id":'), _quoted("id"), F.lit(',"name":'), _quoted("name"), F.lit("}"))
     return joined.select(
@@ -172,13 +195,12 @@ def messages(linked: DataFrame, results: DataFrame) -> DataFrame:
     a result's is {"content","id","role"}.  A result has its call's level; one without a call
     is not linked and has none.  A call is linked if it has results.
     """
-    linked = stash(linked, "linked")
     calls = linked.select("scope", "id", F.lit("call").alias("role"), "level", (F.col("n_results") > 0).alias("linked"), "json")
     text = F.concat(F.lit('{"content":'), _quoted("content"), F.lit(',"id":'), _quoted("id"), F.lit(',"role":"tool"}'))
     named = F.col("scope").isNotNull() & F.col("id").isNotNull()
     rows = results.select("scope", "id", F.lit("result").alias("role"), text.alias("json"))
     level = linked.where(named).select("scope", "id", "level", F.lit(True).alias("there")).distinct()
-    joined = rows.where(named).join(level.hint("shuffle_hash"), ["scope", "id"], "left")
+    joined = rows.where(named).join(level.hint(HASH), ["scope", "id"], "left")
     joined = joined.select("scope", "id", "role", "level", F.coalesce("there", F.lit(False)).alias("linked"), "json")
     alone = rows.where(~named).select("scope", "id", "role", F.lit(None).cast(linked.schema["level"].dataType).alias("level"), F.lit(False).alias("linked"), "json")
     return calls.unionByName(joined).unionByName(alone)
@@ -186,7 +208,7 @@ def messages(linked: DataFrame, results: DataFrame) -> DataFrame:
 
 def unmatched(calls: DataFrame, results: DataFrame) -> DataFrame:
     """Results whose call isn't there."""
-    return results.join(calls.select("scope", "id").distinct().hint("merge"), ["scope", "id"], "left_anti")
+    return results.join(calls.select("scope", "id").distinct().hint(HASH), ["scope", "id"], "left_anti")
 
 
 def _quoted(column: str) -> Column:
@@ -219,19 +241,20 @@ def _conversation(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def conversation_calls(turns: DataFrame) -> DataFrame:
-    """:func:`link` of a table of turns."""
-    out = link(*_conversation(turns), TURN_SCHEMAS)
-    return out.select(F.col("scope").cast("long").alias("conv_id"), "id", "name", F.col("level").cast("int").alias("level"), "n_results", F.array_join("errors", ";").alias("errors"), "valid", "json")
-
+    """:func:`link` and :func:`messages` of a table of turns, a row for each call and each result.
 
-def conversation_messages(turns: DataFrame) -> DataFrame:
-    """:func:`messages` of a table of turns."""
+    Results have no name, errors or results of their own; they are valid where their call is there.
+    """
     calls, results = _conversation(turns)
-    out = messages(link(calls, results, TURN_SCHEMAS), results)
-    return out.select(F.col("scope").cast("long").alias("conv_id"), "id", "role", F.col("level").cast("int").alias("level"), "linked", "json")
+    linked = stash(link(calls, results, TURN_SCHEMAS), "linked")
+    own = linked.select("scope", "id", F.lit("call").alias("role"), "name", "level", "n_results", F.array_join("errors", ";").alias("errors"), "valid", "json")
+    theirs = messages(linked, results).where("role = 'result'")
+    theirs = theirs.select("scope", "id", "role", F.lit("").alias("name"), "level", F.lit(0).cast("long").alias("n_results"), F.lit("").alias("errors"), F.col("linked").alias("valid"), "json")
+    out = own.unionByName(theirs)
+    return out.select(F.col("scope").cast("long").alias("conv_id"), *[c if c != "level" else F.col("level").cast("int").alias("level") for c in out.columns[1:]])
 
 
-ORACLE = """
+CALLS = """
 with recursive c as (
   select conv_id, turn, conv_id::varchar || ':' || turn::varchar as id, case role when 'user' then 'ask' else 'instruct' end as name, text
   from conversations where role in ('user', 'system')
@@ -257,15 +280,15 @@ select e.conv_id, e.id, e.name, lev.level::int as level, coalesce(r.n, 0)::bigin
 from e join lev using (conv_id, turn) left join r using (conv_id, turn)
 """
 
-MESSAGES_ORACLE = f"""
-with calls as ({ORACLE}), level as (
+ORACLE = f"""
+with calls as ({CALLS}), level as (
   select distinct id, level from calls
 ), r as (
   select conv_id, conv_id::varchar || ':' || (turn - 1)::varchar as id, text from conversations where role = 'assistant'
 )
-select conv_id, id, 'call' as role, level, n_results > 0 as linked, json from calls
+select conv_id, id, 'call' as role, name, level, n_results, errors, valid, json from calls
 union all
-select r.conv_id, r.id, 'result', level.level, level.id is not null,
+select r.conv_id, r.id, 'result', '', level.level, 0, '', level.id is not null,
        '{{"content":' || coalesce(to_json(r.text)::varchar, 'null') || ',"id":' || to_json(r.id) || ',"role":"tool"}}'
 from r left join level using (id)
 """

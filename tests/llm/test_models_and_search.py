@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import quality_classifier, tool_calls, toxicity
 from quarry.llm.common import held_out
@@ -111,18 +112,46 @@ def test_tool_calls(spark):
     assert tool_calls.link(calls.limit(0), results.limit(0), {"f": schema}).count() == 0
 
 
-def test_positions_are_kept_where_they_are_an_order(spark):
-    rows = [("s", "a", None, 5), ("s", "b", ["a"], 9), ("t", "a", ["b"], 1), ("t", "b", None, 2), ("u", "a", ["a"], 0)]
-    calls = spark.createDataFrame([(s, i, "f", "{}", d, p) for s, i, d, p in rows], "scope string, id string, name string, arguments string, after array<string>, turn int")
-    out = tool_calls.link(calls, spark.createDataFrame([], "scope string, id string"), {"f": {}}, "turn").collect()
-    assert {(r.scope, r.id): r.level for r in out} == {("s", "a"): 5, ("s", "b"): 9, ("t", "a"): 1, ("t", "b"): 0, ("u", "a"): None}
+def test_schema_keywords(spark):
+    """Each keyword by a value that fits and one that doesn't; keywords that aren't read are refused."""
+    cases = [
+        ({"type": "integer"}, ["1", "1.0", "12345678901234567890", "-3"], ["1.5", '"1"', "true"]),
+        ({"type": ["null", "boolean"]}, ["null", "true"], ["0"]),
+        ({"items": {"type": "integer"}}, ["[]", "[1,2]", '"no array"'], ['[1,"x"]', "[null]"]),
+        ({"minItems": 1, "maxItems": 2}, ["[1]", "[1,2]", "{}"], ["[]", "[1,2,3]"]),
+        ({"const": {"a": [1]}}, ['{"a":[1]}'], ['{"a":[2]}', "1"]),
+        ({"anyOf": [{"type": "string"}, {"minimum": 5}]}, ['"a"', "7"], ["3"]),
+        ({"oneOf": [{"type": "number"}, {"minimum": 5}]}, ["3"], ["7"]),
+        ({"allOf": [{"type": "number"}, {"minimum": 5}]}, ["7"], ["3", '"a"']),
+        ({"not": {"type": "string"}}, ["1"], ['"a"']),
+        ({"exclusiveMinimum": 1, "exclusiveMaximum": 3}, ["2"], ["1", "3"]),
+        ({"multipleOf": 0.5}, ["1.5", "2"], ["1.3"]),
+        ({"minProperties": 1, "maxProperties": 1}, ['{"a":1}', "[]"], ["{}", '{"a":1,"b":2}']),
+        ({"properties": {"a": {"type": "integer"}}, "additionalProperties": {"type": "string"}}, ['{"a":1,"b":"x"}', "[]"], ['{"a":1,"b":2}']),
+        ({"properties": {"a": {"items": {"properties": {"b": {"maxLength": 1}}}}}}, ['{"a":[{"b":"x"}]}'], ['{"a":[{"b":"xy"}]}']),
+        ({"properties": {"a": False}}, ["{}"], ['{"a":1}']),
+        ({"title": "t", "description": "d"}, ["1"], []),
+    ]
+    for k, (schema, good, bad) in enumerate(cases):
+        rows = spark.createDataFrame([(v,) for v in good + bad], "j string").select("j", tool_calls.schema_errors(F.try_parse_json("j"), schema).alias("e"))
+        got = {r.j: r.e for r in rows.collect()}
+        assert all(not got[v] for v in good) and all(got[v] for v in bad), (k, got)
+    with pytest.raises(ValueError, match="prefixItems"):
+        tool_calls.schema_errors(F.lit(None), {"properties": {"a": {"prefixItems": []}}})
+
+
+def test_levels_of_a_long_chain(spark):
+    calls = spark.range(20000).select(F.lit("s").alias("scope"), F.col("id").cast("string").alias("id"))
+    edges = calls.select("scope", "id", (F.col("id").cast("long") - 1).cast("string").alias("after"))
+    assert tool_calls.levels(calls, edges).where("level <> cast(id as long)").count() == 0
 
 
 def test_conversations_with_nulls(spark):
     turns = spark.createDataFrame([(1, 0, "user", None, 0), (1, 1, "assistant", "x", 0), (None, 0, "user", "a", 0), (2, None, "user", "", 0), (1, 2, "user", "y" * 2000, 0), (1, 0, "user", None, 0)], "conv_id long, turn long, role string, text string, id int")
     rows = tool_calls.conversation_calls(turns).collect()
-    assert len(rows) == 5 and tool_calls.conversation_calls(turns.limit(0)).count() == 0
-    assert {(r.id, r.level, r.n_results) for r in rows if r.conv_id == 1} == {("1:0", 0, 1), ("1:2", 1, 0)}
+    assert len([r for r in rows if r.role == "call"]) == 5 and tool_calls.conversation_calls(turns.limit(0)).count() == 0
+    assert [(r.conv_id, r.id, r.level, r.valid, json.loads(r.json)["content"]) for r in rows if r.role == "result"] == [(1, "1:0", 0, True, "x")]
+    assert {(r.id, r.level, r.n_results) for r in rows if r.conv_id == 1 and r.role == "call"} == {("1:0", 0, 1), ("1:2", 1, 0)}
 
 
 def test_results_reach_the_output(spark):
@@ -139,7 +168,7 @@ def test_results_reach_the_output(spark):
 def test_levels_are_depths(spark):
     """Conversations' levels are depths, not turns; other dependencies by a plain version, with cycles and a long chain."""
     turns = spark.createDataFrame([(1, t, "user" if t not in (3, 7, 8) else "assistant", "x") for t in range(11)], "conv_id long, turn long, role string, text string")
-    assert {r.id: r.level for r in tool_calls.conversation_calls(turns).collect()} == {"1:0": 0, "1:1": 1, "1:2": 2, "1:4": 3, "1:5": 4, "1:6": 5, "1:9": 0, "1:10": 1}
+    assert {r.id: r.level for r in tool_calls.conversation_calls(turns).collect() if r.role == "call"} == {"1:0": 0, "1:1": 1, "1:2": 2, "1:4": 3, "1:5": 4, "1:6": 5, "1:9": 0, "1:10": 1}
     rng = np.random.default_rng(3)
     after = {("r", str(i)): {str(j) for j in rng.integers(0, 40, 2) if j < i or rng.random() < 0.02} for i in range(40)}
     after |= {("l", str(i)): {str(i - 1)} if i else set() for i in range(300)} | {("c", "a"): {"b"}, ("c", "b"): {"a", "d"}, ("c", "d"): set(), ("c", "e"): {"a", "d"}}

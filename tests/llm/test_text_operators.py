@@ -521,18 +521,35 @@ def test_boundaries_are_optimal_over_exact_lengths(spark):
             assert (edges[np.searchsorted(edges, bins)] * counts).sum() == cost[-1] and len(edges) == min(buckets, m)
 
 
-@pytest.mark.parametrize("per_range", [2, 1000])
-def test_packing(docs, empty, monkeypatch, per_range):
-    monkeypatch.setattr(packing, "RANGE_ROWS", per_range)
+@pytest.mark.parametrize("partitions", ["1", "7"])
+def test_packing(spark, docs, empty, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
     lengths = packing.words(docs)
     got = packing.pack(lengths, budget=200).collect()
     assert sorted((str(r.doc_id), r.n_tokens) for r in got) == sorted((str(i), len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, t in all_texts(docs))
+    batches_are_full(got, 200)
+    assert packing.pack(packing.words(empty)).count() == 0
+    # one id, and no id, for most rows; strings as ids
+    many = [(str(k) if k < 40 else "hot" if k < 400 else None, k * 7 % 23) for k in range(700)]
+    got = packing.pack(spark.createDataFrame(many, "doc_id string, n_tokens int").repartition(5), budget=90).collect()
+    assert sorted((r.doc_id or "", r.n_tokens) for r in got) == sorted((i or "", n) for i, n in many)
+    batches_are_full(got, 90)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def batches_are_full(got, budget):
     groups = {}
     for r in got:
         assert r.n_tokens <= r.pad_to
         groups.setdefault((r.bucket, r.pad_to), []).append(r)
     for (_, pad), rows in groups.items():
-        room = max(1, 200 // pad)
+        room = max(1, budget // pad)
         rows.sort(key=lambda r: (r.doc_id is None, r.doc_id, r.n_tokens))
         assert sorted(r.batch for r in rows) == [k // room for k in range(len(rows))]
-    assert packing.pack(packing.words(empty)).count() == 0
+        at = {}
+        for k, r in enumerate(rows):  # rows of equal id and length may change places
+            at.setdefault((r.doc_id, r.n_tokens), ([], []))
+            at[r.doc_id, r.n_tokens][0].append(k // room)
+            at[r.doc_id, r.n_tokens][1].append(r.batch)
+        assert all(sorted(a) == sorted(b) for a, b in at.values())
