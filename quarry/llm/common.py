@@ -30,6 +30,9 @@ SLICE_BYTES = 1 << 20
 BATCH_ROWS = 512
 #: Words longer than this are hashed with blake2b instead of the polynomial.
 LONG_WORD = 512
+#: Longest text that a classifier learns from; with the bounds of rows this bounds the sample.
+SAMPLE_BYTES = 1 << 15
+
 
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the executors once per application; set the Arrow batch size."""
@@ -39,25 +42,41 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; set here only where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a session whose executors run inside the driver (tests) gets a
+    folder of its own; any other is refused.
+    """
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="quarry-shared-")
         spark.sparkContext.setCheckpointDir(where)
         atexit.register(shutil.rmtree, where.removeprefix("file://"), ignore_errors=True)
     return where
 
 
+_stashed: list[str] = []
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _stashed.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that :func:`stash` wrote; results that were not yet written elsewhere go with them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _stashed:
+        path = jvm.org.apache.hadoop.fs.Path(_stashed.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -200,9 +219,10 @@ def held_out(id_col: str = "doc_id") -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(text, y) of a bounded sample of labelled rows that are not held out.
 
-    For each value of the label, the most[value] rows whose hashed ids are least; of
-    several labels of one id the least counts; rows without a usable label,
-    id or text are not taken.
+    For each value of the label, the most[value] ids whose hashes are least; of
+    several labels of one id the least counts, and of several texts of one id that of
+    the least hash; rows without a usable label, id or text, and texts of more
+    than SAMPLE_BYTES bytes, are not taken.
     """
     one = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(*most))
     one = one.where(~held_out("id")).groupBy("id").agg(F.min("y").alias("y"))
@@ -210,5 +230,6 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: dict[int
     chosen = parts[0]
     for p in parts[1:]:
         chosen = chosen.unionByName(p)
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")).where(F.col("text").isNotNull())
-    return rows.join(F.broadcast(chosen), "id").select("text", "y", "id").limit(2 * sum(most.values()))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")).where(F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
+    joined = rows.join(F.broadcast(chosen), "id")
+    return joined.groupBy("id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.min("y").alias("y")).select("text", "y", "id")

@@ -27,6 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.llm.common import _MULTIPLIERS, mix, require, ship, span_hashes, text_slices, word_spans
@@ -35,8 +36,8 @@ WIDE = 32
 LEVELS, LANES = 12, 64
 STATE_BYTES = WIDE * 4 + 4 + LEVELS * LANES * 2
 GRAM = 3
-#: Documents of one range of ids that one task walks through.
-RANGE_DOCS = 1024
+#: Documents of one range of ids that one task walks through, and the most ranges (beyond, ranges grow).
+RANGE_DOCS, MOST_RANGES = 1024, 1 << 16
 _U = np.uint64
 
 
@@ -140,25 +141,25 @@ def fingerprints(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> D
     return out.withColumnRenamed("id", id_col)
 
 
-def _edges(ids: DataFrame, count: int) -> list[int]:
-    """Ids that begin each range but the first, ascending; at most count."""
-    if count < 1:
-        return []
-    row = ids.agg(F.percentile_approx("id", [k / (count + 1) for k in range(1, count + 1)], max(10000, 4 * count)).alias("p"), F.min("id").alias("least")).first()
-    return sorted(x for x in set(row.p or []) if x > row.least)
+def _ranges(keys: DataFrame, count: int) -> tuple[Column, int]:
+    """The range of a row's (id, h), ascending with both, and how many ranges there are; about count, some without rows.
 
-
-def _bucket(edges: list[int]) -> Column:
-    """The range of an id: how many edges are at most the id."""
-    if not edges:
-        return F.lit(0)
-    bounds = np.array(edges, np.int64)
+    Ranges begin at quantiles of the ids; an id that is several quantiles is cut by h
+    (31 bits of a hash) into as many.
+    """
+    row = keys.agg(F.percentile_approx("id", [k / (count + 1) for k in range(1, count + 1)] or [0.5], max(10000, 4 * count)).alias("p"), F.min("id").alias("least")).first()
+    if count < 1 or row.least is None:
+        return F.lit(0), 1
+    starts, parts = np.unique(np.array([row.least, *row.p], np.int64), return_counts=True)
+    before = np.cumsum(parts) - parts
 
     @F.pandas_udf("int")
-    def found(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.to_numpy(), side="right").astype(np.int32))
+    def found(ids: pd.Series, h: pd.Series) -> pd.Series:
+        ids, at = ids.to_numpy(), np.searchsorted(starts, ids.to_numpy(), side="right") - 1
+        inner = np.where(ids == starts[at], h.to_numpy() * parts[at] >> 31, parts[at] - 1)
+        return pd.Series((before[at] + inner).astype(np.int32))
 
-    return found("id")
+    return found("id", "h"), int(parts.sum())
 
 
 def _pairs():
@@ -232,28 +233,32 @@ def _states(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def edited_fingerprints(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Fingerprints of each text and of its edited text, whose last quarter is the head of the next row's text.
 
-    The next row is the next in ascending (id, text), null ids last; after
+    The next row is the next in ascending (id, hash of the text, text), null ids last; after
     the last comes the first, and a lone row follows itself.  Null texts count
     as empty; rows of equal id each keep a row; an empty table gives an empty
-    result; other columns are dropped.
+    result; other columns are dropped.  Texts may be of any length: a task holds a
+    batch of them.
 
-    Ids are cut into ranges at quantiles.  The first row of a range is sent to
+    Rows are cut into ranges at quantiles of the ids, MOST_RANGES at most, and an id that has
+    very many rows into ranges of the hash.  The first row of a range is sent to
     the range before it too (that of the first range to the last), so every
-    range knows what follows its last row: one shuffle, no global window.
+    range knows what follows its last row: one shuffle, no global window, and what a task
+    reads of a range it reads as a stream.
     """
     spark = ship(df.sparkSession)
-    rows = df.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), F.col(f"`{id_col}`").cast("long").alias("doc_id"))
-    total = rows.count()
-    edges = _edges(rows.select("id"), total // RANGE_DOCS)
-    bucket = _bucket(edges)
-    n = len(edges) + 1
-    own = rows.select(bucket.alias("r"), F.lit(True).alias("own"), "id", "text", "doc_id")
-    # rows that begin a range: the least text of the least id; a row for each range, whatever the table's size
-    firsts = rows.withColumn("r", bucket).join(F.broadcast(rows.select(bucket.alias("r"), "id").groupBy("r").agg(F.min("id").alias("id"))), ["r", "id"], "left_semi")
-    firsts = firsts.groupBy("r", "id").agg(F.min("text").alias("text"))
-    # ranges without rows can't be: each edge is an id of the table
-    after = firsts.select(F.pmod(F.col("r") - 1, F.lit(n)).alias("r"), F.lit(False).alias("own"), "id", "text", F.lit(None).cast("long").alias("doc_id"))
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    ident = F.col(f"`{id_col}`").cast("long")
+    rows = df.select(F.coalesce(ident, F.lit((1 << 63) - 1)).alias("id"), F.shiftrightunsigned(F.xxhash64(body), 33).alias("h"), body.alias("text"), ident.alias("doc_id"))
+    keys = rows.select("id", "h")
+    bucket, n = _ranges(keys, min(keys.count() // RANGE_DOCS, MOST_RANGES))
+    own = rows.select(bucket.alias("r"), F.lit(True).alias("own"), "id", "h", "text", "doc_id")
+    # where ranges with rows begin, and which is the one before: a row for each range, MOST_RANGES at most
+    heads = keys.withColumn("r", bucket).groupBy("r").agg(F.min(F.struct("id", "h")).alias("head"))
+    last = F.max("r").over(W.orderBy("r").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    heads = heads.select(F.coalesce(F.lag("r").over(W.orderBy("r")), last).alias("to"), "head.*")
+    firsts = rows.join(F.broadcast(heads), ["id", "h"]).groupBy("to", "id", "h").agg(F.min("text").alias("text"))
+    after = firsts.select(F.col("to").alias("r"), F.lit(False).alias("own"), "id", "h", "text", F.lit(None).cast("long").alias("doc_id"))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    both = own.unionByName(after).repartition(min(tasks, n) if n > 1 else 1, "r")
-    ordered = both.sortWithinPartitions("r", F.col("own").desc(), "id", "text")
+    both = own.unionByName(after).repartition(min(tasks, n), "r")
+    ordered = both.sortWithinPartitions("r", F.col("own").desc(), "id", "h", "text")
     return ordered.select("r", "own", "doc_id", "text").mapInArrow(_pairs(), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

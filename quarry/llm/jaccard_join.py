@@ -21,7 +21,7 @@ node.  Two nodes link when their sets' Jaccard measure reaches the threshold t.
    of different components that share enough prefix shingles.  So a group of n near copies costs about n verifications, and
    no link between different components is lost.
 
-Hashes: 64 bits for a node's set, 40 bits and the bucket for a shingle.
+Hashes of sets and of shingles have 64 bits.
 """
 
 import math
@@ -42,13 +42,15 @@ FLUSH, BUCKET = 1 << 21, 1 << 22
 MOST_MATCHES, VERIFY_COST = 8, 0.05
 #: Rows of a shingle that one task compares; more are cut into blocks.
 BLOCK = 50_000
-#: From so many rows on, the nodes of a shingle are compared at once; nodes and bytes of shingles of one block.
-DENSE_ROWS, DENSE_BLOCK, DENSE_BYTES = 512, 4096, 1 << 25
+#: From so many rows on, the nodes of a shingle are compared at once (candidates of such groups are too many to deal
+#: out); nodes and bytes of shingles of one block, and nodes compared with a cell's at a time.
+DENSE_ROWS, DENSE_BLOCK, DENSE_BYTES, DENSE_STEP = 512, 2048, 1 << 24, 512
+#: Parts that the pairs of one node are dealt to, and the most common shingles (the rest pass their buckets).
+PARTS, MOST_COMMON = 64, 1 << 20
 MIN_HASHES = 4
 #: Frequency codes stop at 254 (255: common); what a shingle with such a code counts as.
 FREQUENT, FREQUENT_COST = 254, 1e5
 _U = np.uint64
-_LOW = _U((1 << 40) - 1)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int, text: str):
@@ -96,16 +98,6 @@ def _survey(k: int, text: str, kind: str):
     return run, f"kind int, id {kind}, n long, value long"
 
 
-def _pack40(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def _unpack40(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel().astype(np.uint64)
-
-
 _BLOB = "part int, kind int, sigs binary, ns binary, counts binary, shingles binary, dfs binary"
 _BLOB_NAMES = [x.split()[0] for x in _BLOB.split(", ")]
 
@@ -143,9 +135,9 @@ def _deal(k: int, text: str, buckets: int, shards: int, hot):
                 at = np.minimum(np.searchsorted(common, sh), len(common) - 1)
                 is_hot = common[at] == sh
                 part = (mix(sig.view(np.uint64))[node[is_hot]] % _U(shards)).astype(np.int64)
-                yield from _cut(part, 1, sig, n, node[is_hot], sh[is_hot], False)
+                yield from _cut(part, 1, sig, n, node[is_hot], sh[is_hot])
                 sh, node = sh[~is_hot], node[~is_hot]
-            yield from _cut((sh >> _U(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64) if bits else np.zeros(len(sh), np.uint16), 0, sig, n, node, sh, True)
+            yield from _cut((sh >> _U(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64) if bits else np.zeros(len(sh), np.uint16), 0, sig, n, node, sh)
 
         for _, sh, at in _sets(batches, k, text):
             n = np.diff(at)
@@ -158,34 +150,33 @@ def _deal(k: int, text: str, buckets: int, shards: int, hot):
         if size:
             yield from flush()
 
-    def _cut(part: np.ndarray, kind: int, sig: np.ndarray, n: np.ndarray, node: np.ndarray, sh: np.ndarray, short: bool) -> Iterator[pa.RecordBatch]:
+    def _cut(part: np.ndarray, kind: int, sig: np.ndarray, n: np.ndarray, node: np.ndarray, sh: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(sh):
             return
         order = np.argsort(part, kind="stable")
         part, node, sh = part[order], node[order], sh[order]
         edge = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(part))
         for a, b in zip(edge[:-1], edge[1:], strict=True):
-            yield _batch([_blob(int(part[a]), kind, sig, n, node[a:b], _pack40(sh[a:b]) if short else sh[a:b].tobytes(), b"")])
+            yield _batch([_blob(int(part[a]), kind, sig, n, node[a:b], sh[a:b].tobytes(), b"")])
 
     return run
 
 
-def _open(table: pa.Table, short: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _open(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Signatures, set sizes, and for each shingle: its node's index, itself, its frequency code."""
     cols = {c: table.column(c).to_pylist() for c in ("sigs", "ns", "counts", "shingles", "dfs")}
     sig = np.frombuffer(b"".join(cols["sigs"]), np.int64)
     n = np.frombuffer(b"".join(cols["ns"]), np.uint32)
     node = np.repeat(np.arange(len(sig)), np.frombuffer(b"".join(cols["counts"]), np.uint32))
     raw = b"".join(cols["shingles"])
-    return sig, n, node, _unpack40(raw) if short else np.frombuffer(raw, np.uint64), np.frombuffer(b"".join(cols["dfs"]), np.uint8)
+    return sig, n, node, np.frombuffer(raw, np.uint64), np.frombuffer(b"".join(cols["dfs"]), np.uint8)
 
 
 def _shared(shards: int):
     """For a bucket: the shingles that more than one node holds, for each shard of nodes."""
 
     def run(table: pa.Table) -> pa.Table:
-        bucket = table.column("part")[0].as_py()
-        sig, n, node, sh, _ = _open(table, True)
+        sig, n, node, sh, _ = _open(table)
         values, first, where = np.unique(sig, return_index=True, return_inverse=True)
         node = where[node]
         n = n[first]
@@ -198,7 +189,7 @@ def _shared(shards: int):
         df = np.diff(np.append(edge, len(sh)))
         df = np.repeat(df, df)
         keep = df >= 2
-        sh, node, df = sh[keep] | _U(bucket << 40), node[keep], np.minimum(df[keep], FREQUENT).astype(np.uint8)
+        sh, node, df = sh[keep], node[keep], np.minimum(df[keep], FREQUENT).astype(np.uint8)
         part = (mix(values.view(np.uint64))[node] % _U(shards)).astype(np.int64)
         order = np.lexsort((node, part))
         part, sh, node, df = part[order], sh[order], node[order], df[order]
@@ -242,7 +233,7 @@ def _prefixes(percent: int):
         parts = []
         for hot in (False, True):
             sub = table.filter(kind1 if hot else pa.compute.invert(kind1))
-            sig, n, node, sh, df = _open(sub, False)
+            sig, n, node, sh, df = _open(sub)
             parts.append((sig, n, sig[node], sh, np.full(len(sh), 255, np.uint8) if hot else df))
         sig = np.concatenate([p[2] for p in parts])
         sh = np.concatenate([p[3] for p in parts])
@@ -306,9 +297,15 @@ def _verify(percent: int):
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that link."""
+    """The pairs (a, b) of nodes that link.
+
+    A central node is the a of very many pairs: they are dealt by (a, a part of the hash of
+    b), and a's set is sent once to each part that has pairs.
+    """
     side = lambda c: nodes.select(F.col("sig").alias(c), F.col("n").alias(f"n{c}"), F.col("shingles").alias(f"t{c}"))
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(percent), "a long, b long")
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(PARTS)).cast("int").alias("part"))
+    centres = dealt.select("a", "part").distinct().join(side("a"), "a")
+    return dealt.join(side("b"), "b").join(centres, ["a", "part"]).mapInArrow(_verify(percent), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -384,17 +381,18 @@ def _crowd(percent: int):
         row = np.repeat(np.arange(len(sig)), size)
         order = np.argsort(column, kind="stable")
         row, column = row[order], column[order]
-        both = np.zeros((len(few), len(sig)), np.float32)
-        for c in range(0, len(values), 2048):
-            a, b = np.searchsorted(column, [c, c + 2048])
-            part = np.zeros((len(sig), 2048), np.float32)
-            part[row[a:b], column[a:b] - c] = 1
-            both += part[few] @ part.T
-        both = both.astype(np.int64)
-        p, q = np.nonzero((100 * both >= percent * (n[few][:, None] + n[None, :] - both)) & (root[few][:, None] != root[None, :]))
-        if len(p):
-            a, b = sig[few[p]], sig[q]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        cuts = np.searchsorted(column, np.arange(0, len(values) + 2048, 2048))
+        for at in range(0, len(few), DENSE_STEP):
+            some = few[at : at + DENSE_STEP]
+            both = np.zeros((len(some), len(sig)), np.float32)
+            for c, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                part = np.zeros((len(sig), 2048), np.float32)
+                part[row[a:b], column[a:b] - 2048 * c] = 1
+                both += part[some] @ part.T
+            p, q = np.nonzero((100 * both.astype(np.int32) >= percent * (n[some][:, None] + n[None, :] - both)) & (root[some][:, None] != root[None, :]))
+            if len(p):
+                a, b = sig[some[p]], sig[q]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return _by_cell(pairs, ["shingle", "i", "j", "sig", "root", "n", "shingles"])
 
@@ -439,7 +437,7 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 75, text: str = "t
     shards = max(1, min(4 * buckets, math.ceil((total or 0) / (BUCKET / 8))))
     hot_rows = survey.where("kind = 1").groupBy("value").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3, HOT_SHARE / 2 * (count or 0)))
     most = int(2 / HOT_SHARE * max(1.0, (total or 0) / max(1, count or 0))) + 1
-    hot = np.sort(np.array([r.value for r in hot_rows.orderBy(F.desc("n"), "value").limit(most).collect()], np.int64).view(np.uint64))
+    hot = np.sort(np.array([r.value for r in hot_rows.orderBy(F.desc("n"), "value").limit(min(most, MOST_COMMON)).collect()], np.int64).view(np.uint64))
     common = spark.sparkContext.broadcast(hot)
 
     dealt = docs.mapInArrow(_deal(k, text, buckets, shards, common), _BLOB)

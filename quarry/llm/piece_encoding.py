@@ -11,8 +11,10 @@ joins byte pieces to characters and drops the leading one.
 Work is done by numpy for a slice of texts at once: texts are cut before each
 marker that follows another character (no piece crosses such a place; a
 vocabulary with pieces that do is refused), and each distinct part is segmented
-once.  The trie is walked from all positions at once, a byte at a time, and the
-Viterbi step runs over all parts at once, a position at a time.
+once.  The trie is walked from all positions at once, a byte at a time.  Parts are then
+cut wherever no piece that was found crosses, which leaves the best way as it is, so
+text without spaces falls into short parts too.  The Viterbi step runs over all parts
+at once, a position at a time; parts of more than LONG bytes go one by one.
 """
 
 import hashlib
@@ -32,6 +34,8 @@ UNKNOWN = 10.0
 MARK, MARK_BYTES = "▁", "▁".encode()
 #: Bytes of text that are segmented at once.
 SLICE = 1 << 19
+#: Bytes from which on a part is walked by itself.
+LONG = 256
 
 
 class DoubleArray:
@@ -150,6 +154,18 @@ class Pieces:
         found.append((lone, char[lone], np.full(len(lone), -1, np.int64)))
         start, length, ids = (np.concatenate(x) for x in zip(*found, strict=True))
         score = np.where(ids >= 0, self.points[ids], self.unknown)
+        # cut where no piece crosses
+        crossed = np.zeros(size + 1, np.int64)
+        crossed += np.bincount(start + 1, minlength=size + 2)[: size + 1]
+        crossed -= np.bincount(start + length, minlength=size + 1)[: size + 1]
+        free = heads[np.cumsum(crossed)[heads] == 0]
+        outer, bounds = bounds, np.union1d(bounds, free)
+        n = len(bounds) - 1
+        part = np.repeat(np.arange(n), np.diff(bounds))
+        long = np.diff(bounds) > LONG
+        alone = long[part[start]] if size else np.zeros(0, bool)
+        out = self._walked(bounds, np.flatnonzero(long), part, start[alone], length[alone], ids[alone], score[alone])
+        start, length, ids, score = (x[~alone] for x in (start, length, ids, score))
         offset = start - bounds[part[start]]
         order = np.lexsort((length, offset))
         start, length, ids, score, offset = start[order], length[order], ids[order], score[order], offset[order]
@@ -168,8 +184,7 @@ class Pieces:
             t = t[better]
             best[t], came[t], which[t] = candidate[better], s[better], ids[a:b][better]
         # back from each part's end
-        out, pos, live = [], bounds[1:] + np.arange(n), np.arange(n)
-        live = live[np.diff(bounds) > 0]
+        pos, live = bounds[1:] + np.arange(n), np.flatnonzero((np.diff(bounds) > 0) & ~long)
         pos = pos[live]
         nth = 0
         while len(live):
@@ -180,7 +195,7 @@ class Pieces:
             go = pos - live > bounds[live]
             live, pos = live[go], pos[go]
         if not out:
-            return np.zeros(0, np.int32), np.zeros(n, np.int64)
+            return np.zeros(0, np.int32), np.zeros(len(outer) - 1, np.int64)
         who, nth, ids, at, length = (np.concatenate(x) for x in zip(*out, strict=True))
         order = np.lexsort((-nth, who))
         who, ids, at, length = who[order], ids[order], at[order], length[order]
@@ -189,7 +204,32 @@ class Pieces:
         lost = flat < 0
         inner = np.arange(len(flat)) - np.repeat(np.cumsum(many) - many, many)
         flat[lost] = self.byte_ids[data[(np.repeat(at, many) + inner)[lost]]]
-        return flat.astype(np.int32), np.bincount(who, weights=many, minlength=n).astype(np.int64)
+        whole = np.searchsorted(outer, bounds[:-1], side="right") - 1
+        return flat.astype(np.int32), np.bincount(whole[who], weights=many, minlength=len(outer) - 1).astype(np.int64)
+
+    def _walked(self, bounds: np.ndarray, parts: np.ndarray, part: np.ndarray, start: np.ndarray, length: np.ndarray, ids: np.ndarray, score: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        """The best way through each long part, as (part, number from the end, id, position, length) of its pieces."""
+        order = np.argsort(start, kind="stable")
+        start, length, ids, score = start[order], length[order], ids[order], score[order]
+        edge = np.searchsorted(part[start], np.append(parts, parts[-1] + 1)) if len(parts) else []
+        out = []
+        for p, x, y in zip(parts.tolist(), edge[:-1], edge[1:], strict=True):
+            first, last = int(bounds[p]), int(bounds[p + 1])
+            size = last - first
+            best, came = [-(1 << 62)] * (size + 1), [0] * (size + 1)
+            best[0] = 0
+            froms, sizes, scores = (start[x:y] - first).tolist(), length[x:y].tolist(), score[x:y].tolist()
+            for i, (s, k, v) in enumerate(zip(froms, sizes, scores, strict=True)):
+                v += best[s]
+                if v > best[s + k]:
+                    best[s + k], came[s + k] = v, i
+            way, at = [], size
+            while at:
+                way.append(came[at])
+                at = froms[came[at]]
+            way = np.array(way, np.int64) + x
+            out.append((np.full(len(way), p), np.arange(len(way)), ids[way], start[way], length[way]))
+        return out
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of the texts of a slice, one after another, and the number of each text's ids."""
@@ -273,7 +313,8 @@ def encode(df: DataFrame, pieces: Pieces, text: str = "text", id_col: str = "doc
     """id and ids (array of int) of each row's whole text.
 
     Null and empty texts have no pieces; null ids and repeated rows keep a row
-    each; an empty table gives an empty result; other columns are dropped.
+    each; an empty table gives an empty result; other columns are dropped.  Texts may be of
+    any length.  A text's own U+2581 is a marker like any other, so decoding gives a space for it.
     """
 
     def make(p: Pieces, data: np.ndarray, off: np.ndarray) -> dict:

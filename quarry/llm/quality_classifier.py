@@ -1,13 +1,15 @@
 """Operator 9: text quality by nearest-neighbour voting in a latent-semantic space.
 
-A text's terms are pairs of adjacent byte classes (what case, digits, white
-space, each punctuation mark and other letters follow each other) and its
-repetitions (words equal to the word before, words and lines seen before in the
-text).  Term shares are weighted by inverse document frequency and projected
+A text's terms are its words and the character trigrams of its words (lower case,
+hashed to WORDS and TRIGRAMS terms), pairs of adjacent byte classes (what case,
+digits, white space, each punctuation mark and other letters follow each other) and
+its repetitions (words equal to the word before, words and lines seen before in the
+text).  Each family's shares are weighted by inverse document frequency, brought to
+the length that WEIGHTS names, and projected
 on the leading singular vectors of the labelled sample.  The sample's vectors,
 at most MOST_LABELLED rows, are broadcast; the exact cosines of every
-document with all of them are computed in blocks, and the NEIGHBOURS nearest
-vote with weight similarity ** SHARPNESS.
+document with all of them are computed in blocks, and the NEIGHBOURS nearest, with
+all that are as near as the last of them, vote with weight similarity ** SHARPNESS.
 """
 
 from collections.abc import Iterator
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import _LOWER, held_out, ship, span_hashes, text_slices, training_rows, word_spans
+from quarry.llm.common import _LOWER, held_out, mix, ship, span_hashes, text_slices, training_rows, word_spans
 
 #: Bounds of the labelled sample: rows of label 0 and of label 1.
 MOST_LABELLED = {0: 1500, 1: 2500}
@@ -35,7 +37,15 @@ _CLASS[10] = 4
 _CLASS[128:] = 0
 for _i, _b in enumerate(_PUNCTUATION):
     _CLASS[_b] = 6 + _i
-TERMS = CLASSES * CLASSES + 3
+SHAPES = CLASSES * CLASSES
+#: Hashed terms for words and for trigrams of their characters.
+WORDS, TRIGRAMS = 1 << 11, 1 << 10
+TERMS = SHAPES + 3 + WORDS + TRIGRAMS
+#: Where each family of terms begins and ends, and how long its part of a vector is at most.
+FAMILIES = ((0, SHAPES + 3), (SHAPES + 3, SHAPES + 3 + WORDS), (SHAPES + 3 + WORDS, TERMS))
+WEIGHTS = (1.0, 0.5, 0.5)
+#: Rounds of the randomised decomposition.
+POWER_ROUNDS = 6
 
 
 def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -46,20 +56,28 @@ def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return out
     c = _CLASS[data]
     doc = np.repeat(np.arange(n), np.diff(offsets))
-    pair = doc[:-1] * TERMS + c[:-1] * CLASSES + c[1:]
-    inside = doc[:-1] == doc[1:]
-    out += np.bincount(pair[inside], minlength=n * TERMS).reshape(n, TERMS)
+    tally = lambda at, size: np.bincount(at, minlength=n * size).reshape(n, size)
+    pair = doc[:-1] * SHAPES + c[:-1] * CLASSES + c[1:]
+    out[:, :SHAPES] = tally(pair[doc[:-1] == doc[1:]], SHAPES)
     low = _LOWER[data]
     start, end, owner = word_spans(low, offsets)
     if len(start):
         h = span_hashes(low, start, end)
         again = (h[1:] == h[:-1]) & (owner[1:] == owner[:-1])
-        out[:, -3] = np.bincount(owner[1:][again], minlength=n)
-        out[:, -2] = _repeats(h, owner, n)
+        out[:, SHAPES] = np.bincount(owner[1:][again], minlength=n)
+        out[:, SHAPES + 1] = _repeats(h, owner, n)
+        out[:, FAMILIES[1][0] : FAMILIES[1][1]] = tally(owner * WORDS + (h % np.uint64(WORDS)).astype(np.int64), WORDS)
+        wide = low.astype(np.uint64)
+        code = mix(wide[:-2] | wide[1:-1] << np.uint64(8) | wide[2:] << np.uint64(16)) % np.uint64(TRIGRAMS) if len(low) > 2 else np.zeros(0, np.uint64)
+        inside = np.zeros(len(code) + 1, np.int64)
+        np.add.at(inside, start[end - start > 2], 1)
+        np.add.at(inside, end[end - start > 2] - 2, -1)
+        at = np.flatnonzero(np.cumsum(inside)[: len(code)])
+        out[:, FAMILIES[2][0] :] = tally(doc[at] * TRIGRAMS + code[at].astype(np.int64), TRIGRAMS)
     breaks = np.union1d(offsets, np.flatnonzero(data == 10) + 1)
     s, e = breaks[:-1], breaks[1:]
     h, owner = span_hashes(low, s, e), np.searchsorted(offsets, s, side="right") - 1
-    out[:, -1] = _repeats(h[e - s > 1], owner[e - s > 1], n)
+    out[:, SHAPES + 2] = _repeats(h[e - s > 1], owner[e - s > 1], n)
     return out
 
 
@@ -72,10 +90,12 @@ def _repeats(h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
 
 
 def _shares(counts: np.ndarray) -> np.ndarray:
-    total = counts[:, :-3].sum(axis=1, keepdims=True)
-    out = counts / np.maximum(total, 1)
-    out[:, -3:] *= 6  # a word has about six bytes
-    return np.sqrt(out)
+    """Square roots of the terms' shares in their family."""
+    out = counts.copy()
+    out[:, SHAPES : SHAPES + 3] *= 6  # a word has about six bytes
+    for (a, b), size in zip(FAMILIES, (SHAPES, WORDS, TRIGRAMS), strict=True):
+        out[:, a:b] /= np.maximum(counts[:, a : a + size].sum(axis=1, keepdims=True), 1)
+    return np.sqrt(out, out=out)
 
 
 class Model:
@@ -83,32 +103,44 @@ class Model:
 
     def __init__(self, counts: np.ndarray, labels: np.ndarray) -> None:
         self.prior = float(labels.mean()) if len(labels) else 0.5
-        x = _shares(counts)
-        self.idf = np.log((1 + len(x)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
-        x = x * self.idf
-        if len(x):
-            _, axes = np.linalg.eigh(x.T.astype(np.float64) @ x)  # right singular vectors, ascending
-            self.axes = np.ascontiguousarray(axes[:, ::-1][:, :DIMENSIONS], np.float32)
-        else:
-            self.axes = np.zeros((TERMS, 1), np.float32)
-        self.labels = labels.astype(np.float32)
+        self.idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
+        x = self.weighted(counts)
+        self.axes = _leading(x, DIMENSIONS) if len(x) else np.zeros((TERMS, 1), np.float32)
+        self.labels = labels.astype(np.float64)
         self.vectors = self.project(counts)
 
+    def weighted(self, counts: np.ndarray) -> np.ndarray:
+        x = _shares(counts) * self.idf
+        for (a, b), weight in zip(FAMILIES, WEIGHTS, strict=True):
+            size = np.sqrt((x[:, a:b] ** 2).sum(axis=1, keepdims=True))
+            x[:, a:b] *= weight / np.maximum(size, 1e-9)
+        return x
+
     def project(self, counts: np.ndarray) -> np.ndarray:
-        v = (_shares(counts) * self.idf) @ self.axes
+        v = self.weighted(counts) @ self.axes
         norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
         return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
         """Shares of the votes for label 1; the prior where nothing is similar."""
         n, k = len(counts), min(NEIGHBOURS, len(self.labels))
-        if not k:
+        if not k or not n:
             return np.full(n, self.prior)
         sims = self.project(counts) @ self.vectors.T
-        near = np.argpartition(sims, -k, axis=1)[:, -k:] if k < len(self.labels) else np.tile(np.arange(k), (n, 1))
-        w = np.maximum(np.take_along_axis(sims, near, axis=1), 0).astype(np.float64) ** SHARPNESS
-        total = w.sum(axis=1)
-        return np.divide((w * self.labels[near]).sum(axis=1), total, out=np.full(n, self.prior), where=total > 0).clip(0, 1)
+        last = np.partition(sims, -k, axis=1)[:, -k]
+        row, near = np.nonzero(sims >= last[:, None])
+        w = np.maximum(sims[row, near], 0).astype(np.float64) ** SHARPNESS
+        total, good = np.bincount(row, w, n), np.bincount(row, w * self.labels[near], n)
+        return np.divide(good, total, out=np.full(n, self.prior), where=total > 0).clip(0, 1)
+
+
+def _leading(x: np.ndarray, most: int) -> np.ndarray:
+    """The leading right singular vectors of x as columns, by rounds of a random block (16 columns more than wanted)."""
+    y = np.random.default_rng(0).standard_normal((x.shape[1], most + 16)).astype(np.float32)
+    for _ in range(POWER_ROUNDS):
+        y = np.linalg.qr(x.T @ (x @ y))[0]
+    _, _, axes = np.linalg.svd(x @ y, full_matrices=False)
+    return np.ascontiguousarray((y @ axes.T)[:, :most], np.float32)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", id_col: str = "doc_id") -> Model:
@@ -131,7 +163,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_
     """id, held_out, score (0 to 1) and predicted (1 from THRESHOLD on) of each row's whole text.
 
     Empty and null texts have no similar neighbour and get the sample's share
-    of label 1; without any labelled row every score is 0.5.  Null ids and
+    of label 1; without any labelled row every score is 0.5.  All neighbours as near as
+    the last one vote, so ties need no order.  Texts of any length are read whole.  Null ids and
     repeated rows keep a row each; other columns are dropped unless named in keep.
     """
     sent = ship(docs.sparkSession).sparkContext.broadcast(model)

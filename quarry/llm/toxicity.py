@@ -205,7 +205,7 @@ def train(x: np.ndarray, bounds: np.ndarray, y: np.ndarray, seed: int = 0) -> Ne
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", id_col: str = "doc_id") -> Network:
-    """A network trained on at most MOST_LABELLED labelled rows, none of them held out."""
+    """A network trained on at most MOST_LABELLED labelled rows (of SAMPLE_BYTES bytes at most), none of them held out."""
     ship(docs.sparkSession)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +224,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
 def score(docs: DataFrame, network: Network, text: str = "text", id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
     """id, held_out, score (0 to 1) and predicted (1 from THRESHOLD on) of each row's whole text.
 
-    Texts without words, null ones too, score 0.  Null ids and repeated rows
+    Texts without words, null ones too, score 0.  Of equally high windows either
+    gives the score.  All windows of a text of any length are read.  Null ids and repeated rows
     keep a row each; other columns are dropped unless named in keep.
     """
     sent = ship(docs.sparkSession).sparkContext.broadcast(network)

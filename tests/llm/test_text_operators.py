@@ -16,6 +16,7 @@ from pathlib import Path
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 
 from quarry.llm import document_fingerprints, jaccard_join, packing, piece_encoding, secret_scans, token_counts
 
@@ -389,6 +390,20 @@ def test_fingerprints_are_homomorphic():
     assert f("x y") != f("y x") and f(None) == f("")
 
 
+def test_states_match_a_plain_sum():
+    """The lanes, from each paragraph's own hash and each gram of its words, one by one."""
+    text = "one two three four\n\nfive six\none two three four\nseven"
+    wide, number, levels = document_fingerprints.unpack([document_fingerprints.fingerprint_state(text)])
+    total, grams = np.zeros(document_fingerprints.WIDE, np.uint64), 0
+    parts = np.zeros((1, document_fingerprints.LEVELS * document_fingerprints.LANES), np.uint64)
+    for p in filter(None, text.split("\n")):
+        total += np.frombuffer(hashlib.shake_128(p.encode()).digest(128), np.uint32)
+        grams += max(1, len(p.split()) - 2)
+        parts += document_fingerprints.unpack([document_fingerprints.fingerprint_state(p)])[2]
+    assert (wide[0] == total % (1 << 32)).all() and number[0] == grams == 6 and (levels[0] == parts[0] % (1 << 16)).all()
+    assert (levels[0] > 0).sum() <= grams
+
+
 def test_likeness_follows_the_shared_grams():
     words = [f"w{i}" for i in range(4000)]
     state = lambda w: document_fingerprints.unpack([document_fingerprints.fingerprint_state(" ".join(w))])
@@ -401,12 +416,14 @@ def test_likeness_follows_the_shared_grams():
 
 
 @pytest.mark.parametrize("per_range", [1, 4, 1000])
-def test_edited_fingerprints(docs, empty, monkeypatch, per_range):
+def test_edited_fingerprints(spark, docs, empty, monkeypatch, per_range):
     monkeypatch.setattr(document_fingerprints, "RANGE_DOCS", per_range)
-    rows = sorted(((i if i is not None else 1 << 63, t or "") for i, t in all_texts(docs)))
+    odd = spark.createDataFrame([(7, f"hot line {k}\nand {k % 5}") for k in range(150)] + [(None, f"no id {k}") for k in range(60)], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(odd).repartition(3)
+    rows = sorted((i if i is not None else 1 << 63, xxhash.xxh64_intdigest((t or "").encode(), 42) >> 33, t or "") for i, t in all_texts(docs))
     want = []
-    for k, (i, t) in enumerate(rows):
-        after, cut = rows[(k + 1) % len(rows)][1], len(t) // 4
+    for k, (i, _, t) in enumerate(rows):
+        after, cut = rows[(k + 1) % len(rows)][2], len(t) // 4
         edited = t[: len(t) - cut] + after[:cut]
         want.append((str(None if i == 1 << 63 else i), len(t), hashlib.sha256(edited.encode()).hexdigest(), document_fingerprints.fingerprint_state(t).hex(), document_fingerprints.fingerprint_state(edited).hex()))
     got = document_fingerprints.edited_fingerprints(docs).collect()
