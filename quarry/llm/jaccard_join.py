@@ -37,7 +37,7 @@ from quarry.llm.common import mix, require, ship, shingle_hashes, stash, text_sl
 #: Part of all documents from which on a shingle counts as common.
 HOT_SHARE = 0.002
 #: Shingles that a task holds before it deals them out, and shingles of a bucket.
-FLUSH, BUCKET = 1 << 21, 1 << 22
+FLUSH, BUCKET = 1 << 21, 1 << 21
 #: Longest l, and what a verification costs in postings, for each shingle of the node.
 MOST_MATCHES, VERIFY_COST = 8, 0.05
 #: Rows of a shingle that one task compares; more are cut into blocks.

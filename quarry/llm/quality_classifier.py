@@ -159,17 +159,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
     return Model(counts, np.array([r.y for r in rows], np.float32))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
-    """id, held_out, score (0 to 1) and predicted (1 from THRESHOLD on) of each row's whole text.
-
-    Empty and null texts have no similar neighbour and get the sample's share
-    of label 1; without any labelled row every score is 0.5.  All neighbours as near as
-    the last one vote, so ties need no order.  Texts of any length are read whole.  Null ids and
-    repeated rows keep a row each; other columns are dropped unless named in keep.
-    """
+def _scored(docs: DataFrame, model: Model, names: list[str], text: str) -> DataFrame:
+    """The named columns of docs and __score."""
     sent = ship(docs.sparkSession).sparkContext.broadcast(model)
-    keep = keep or []
-    names = [id_col, *[c for c in keep if c != id_col]]
     plain = docs.select(*[F.col(f"`{c}`") for c in names], *([] if text in names else [F.col(f"`{text}`")]))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,5 +172,23 @@ def score(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_
                 yield pa.RecordBatch.from_arrays([*[c[i:j] for c in b.columns[: len(names)]], pa.array(s.astype(np.float64))], names=[*names, "__score"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema[: len(names)])
-    out = plain.mapInArrow(scored, f"{ddl}, __score double")
-    return out.select(id_col, held_out(id_col).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"), *[c for c in names if c != id_col])
+    return plain.mapInArrow(scored, f"{ddl}, __score double")
+
+
+def score(docs: DataFrame, model: Model, text: str = "text", id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """id, held_out, score (0 to 1) and predicted (1 from THRESHOLD on) of each row's whole text.
+
+    Empty and null texts have no similar neighbour and get the sample's share
+    of label 1; without any labelled row every score is 0.5.  All neighbours as near as
+    the last one vote, so ties need no order.  Texts of any length are read whole.  Null ids and
+    repeated rows keep a row each; other columns are dropped unless named in keep.
+    """
+    names = [id_col, *[c for c in keep or [] if c != id_col]]
+    out = _scored(docs, model, names, text)
+    return out.select(f"`{id_col}`", held_out(f"`{id_col}`").alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"), *[F.col(f"`{c}`") for c in names if c != id_col])
+
+
+def chosen(docs: DataFrame, model: Model, predicted: int, text: str = "text") -> DataFrame:
+    """The rows of docs, all their columns whatever these are called, for which :func:`score` predicts a value."""
+    out = _scored(docs, model, docs.columns, text)
+    return out.where((F.col("__score") >= THRESHOLD) == F.lit(predicted == 1)).select(*[F.col(f"`{c}`") for c in docs.columns])

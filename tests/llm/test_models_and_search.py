@@ -211,5 +211,27 @@ def test_rows_of_one_id_are_grouped_by_their_texts(spark):
     assert sorted(map(tuple, kept), key=str) == sorted([rows[0], rows[3], rows[5], rows[6], rows[7]], key=str)
 
 
+def test_pipeline_of_odd_tables(spark):
+    import corpus_pipeline
+
+    prose = "The quick brown fox, as we know, jumps over the lazy dog; it rains. Nobody minds, since the fox is quick and the dog sleeps on."
+    rows = [(1, prose, "a", {"k": 1}), (1, prose, "a", {"k": 1}), (2, prose, "b", {"k": 2}), (3, None, "c", None), (4, "", "c", {}), (None, prose + " More.", "d", {}), (5, prose + " token = abcdef123 " + "far away words " * 30000, "e", {}), (6, "one two", None, None)]
+    schema = "doc_id long, text string, row_key string, `score` map<string,int>"
+    odd = spark.createDataFrame(rows, schema)
+    steps = dict(corpus_pipeline.STAGES)
+    for table in (odd, odd.limit(0)):
+        docs = table
+        for name in ("toxicity", "quality"):
+            out = steps[name](spark, docs, DATA)
+            assert out.columns == odd.columns and out.count() <= docs.count()
+        docs = steps["near_copies"](spark, docs, DATA)
+        kept = sorted((str(r.doc_id), (r.text or "")[:8]) for r in docs.collect())
+        assert docs.columns == odd.columns and (not kept or [i for i, _ in kept] == ["1", "3", "4", "5", "6", "None"])
+        masked = steps["secrets"](spark, docs, DATA)
+        texts = {r.doc_id: r.text for r in masked.collect()}
+        assert masked.columns == odd.columns and (not texts or (texts[3] is None and texts[4] == "" and "abcdef123" not in texts[5] and texts[1] == prose))
+        assert sorted(str(r.doc_id) for r in steps["packing"](spark, masked, DATA).collect()) == [i for i, _ in kept]
+
+
 def test_held_out_of_null_ids(spark):
     assert spark.createDataFrame([(None,)], "doc_id long").select(held_out()).first()[0] is False
