@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that it gets and
 returns a DataFrame; :func:`run` writes each stage's result as Parquet and reads it
-for the next.  All but the last return the columns of ``docs``.
+for the next.  All but the last return the columns of ``docs``, whatever these are called.
+
+Null and empty texts are texts without words; rows without an id, repeated rows and ties keep a
+row each but where a stage says otherwise; texts may be of any length; an empty
+table passes every stage as an empty table.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,41 +24,42 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: documents predicted toxic go."""
+    """Operator 4: documents predicted toxic go.  Texts without words score 0 and stay; without labels all scores are the same."""
     network = toxicity.fit(docs, _labels(spark, sf_dir))
-    return toxicity.score(docs, network, keep=docs.columns).where("predicted = 0").select(*docs.columns)
+    return toxicity.chosen(docs, network, 0)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: documents not predicted of quality go."""
+    """Operator 9: documents not predicted of quality go.  Texts without words get the sample's share of label 1."""
     model = quality_classifier.fit(docs, _labels(spark, sf_dir))
-    return quality_classifier.score(docs, model, keep=docs.columns).where("predicted = 1").select(*docs.columns)
+    return quality_classifier.chosen(docs, model, 1)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: of each group of linked rows, the one of the least id stays (then of the least hash of its text).
 
     A row is named by its id and text, so rows of one id with different texts are
-    grouped each by its own text; of rows that share both, the least stays.  Rows without an
+    grouped each by its own text; of rows that share both, the one that is least as JSON stays.  Rows without an
     id can't be named by a group and stay.
     """
     key = F.struct("doc_id", F.coalesce(F.unhex(F.sha2("text", 256)), F.lit(b"")).alias("hash"))
-    keyed = docs.where("doc_id is not null").withColumn("row_key", key)
-    groups = jaccard_join.near_duplicates(keyed, id_col="row_key")
-    first = groups.where("row_key = component_id").select("row_key").distinct()
-    kept = keyed.join(first, "row_key", "left_semi")
-    one = kept.groupBy("row_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    keyed = docs.where("doc_id is not null").withColumn("__row_key", key)
+    groups = jaccard_join.near_duplicates(keyed, id_col="__row_key")
+    first = groups.where("__row_key = component_id").select("__row_key").distinct()
+    kept = keyed.join(first, "__row_key", "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = kept.groupBy("__row_key").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
     return one.unionByName(docs.where("doc_id is null"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: the spans of secrets are masked, and n_chars follows."""
+    """Operator 5: the spans of secrets are masked, and n_chars follows.  Null texts stay null."""
     masked = secret_scans.redact(docs)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: each document's bucket and batch."""
+    """Operator 3: each document's bucket and batch, by its number of words; those without an id come last."""
     return packing.pack(packing.words(docs))
 
 
