@@ -102,12 +102,15 @@ class Model:
     """Weights, projection and the sample's unit vectors with their labels."""
 
     def __init__(self, counts: np.ndarray, labels: np.ndarray) -> None:
+        """counts is worked on in place: the driver holds the sample's matrix once."""
         self.prior = float(labels.mean()) if len(labels) else 0.5
-        self.idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
-        x = self.weighted(counts)
-        self.axes = _leading(x, DIMENSIONS) if len(x) else np.zeros((TERMS, 1), np.float32)
+        held = sum(((counts[s : s + 256] > 0).sum(axis=0) for s in range(0, len(counts), 256)), np.zeros(TERMS, np.int64))
+        self.idf = np.log((1 + len(counts)) / (1 + held)).astype(np.float32) + 1
+        for s in range(0, len(counts), 256):
+            counts[s : s + 256] = self.weighted(counts[s : s + 256])
+        self.axes = _leading(counts, DIMENSIONS) if len(counts) else np.zeros((TERMS, 1), np.float32)
         self.labels = labels.astype(np.float64)
-        self.vectors = self.project(counts)
+        self.vectors = self._units(counts)
 
     def weighted(self, counts: np.ndarray) -> np.ndarray:
         x = _shares(counts) * self.idf
@@ -117,7 +120,10 @@ class Model:
         return x
 
     def project(self, counts: np.ndarray) -> np.ndarray:
-        v = self.weighted(counts) @ self.axes
+        return self._units(self.weighted(counts))
+
+    def _units(self, x: np.ndarray) -> np.ndarray:
+        v = x @ self.axes
         norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
         return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
 
@@ -126,7 +132,7 @@ class Model:
         n, k = len(counts), min(NEIGHBOURS, len(self.labels))
         if not k or not n:
             return np.full(n, self.prior)
-        sims = self.project(counts) @ self.vectors.T
+        sims = np.round(self.project(counts) @ self.vectors.T, 6)  # equal vectors are equally near, however a product is summed
         last = np.partition(sims, -k, axis=1)[:, -k]
         row, near = np.nonzero(sims >= last[:, None])
         w = np.maximum(sims[row, near], 0).astype(np.float64) ** SHARPNESS
@@ -151,12 +157,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
         for b in batches:
             for i, j, data, off in text_slices(b):
                 c = term_counts(data, off)
-                yield pa.RecordBatch.from_arrays([b.column("y")[i:j], pa.array([r.tobytes() for r in c], pa.binary())], names=["y", "c"])
-
-    rows = training_rows(docs, labels, label, MOST_LABELLED, text, id_col).mapInArrow(counted, "y int, c binary").collect()
-    rows.sort(key=lambda r: (r.y, bytes(r.c)))  # the same model, however the tasks end
-    counts = np.frombuffer(b"".join(bytes(r.c) for r in rows), np.float32).reshape(len(rows), TERMS)
-    return Model(counts, np.array([r.y for r in rows], np.float32))
+                at = [np.flatnonzero(r) for r in c]
+                yield pa.RecordBatch.from_arrays([b.column("y")[i:j], pa.array([k.astype(np.int32).tobytes() for k in at], pa.binary()), pa.array([r[k].tobytes() for r, k in zip(c, at, strict=True)], pa.binary())], names=["y", "at", "n"])
+
+    rows = training_rows(docs, labels, label, MOST_LABELLED, text, id_col).mapInArrow(counted, "y int, at binary, n binary").collect()
+    rows.sort(key=lambda r: (r.y, bytes(r.at), bytes(r.n)))  # the same model, however the tasks end
+    y, counts = np.array([r.y for r in rows], np.float32), np.zeros((len(rows), TERMS), np.float32)
+    for k, r in enumerate(rows):
+        counts[k, np.frombuffer(r.at, np.int32)] = np.frombuffer(r.n, np.float32)
+    del rows
+    return Model(counts, y)
 
 
 def _scored(docs: DataFrame, model: Model, names: list[str], text: str) -> DataFrame:

@@ -235,3 +235,52 @@ def test_pipeline_of_odd_tables(spark):
 
 def test_held_out_of_null_ids(spark):
     assert spark.createDataFrame([(None,)], "doc_id long").select(held_out()).first()[0] is False
+
+
+def test_quality_is_a_plain_vote(spark):
+    """Scores against neighbours found one by one, with all ties of the last one."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["rain", "Fox,", "dog", "runs.", "x9", "!!"], rng.integers(1, 30))) for _ in range(90)]
+    texts[40:60] = texts[:20]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    counts = quality_classifier.term_counts(data, np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])]))
+    y = rng.integers(0, 2, 60)
+    model = quality_classifier.Model(counts[:60].copy(), y.astype(np.float32))
+    got = model.score(counts)
+    for k, v in enumerate(model.project(counts)):
+        sims = [round(float(v @ u), 6) for u in model.vectors]
+        least = sorted(sims)[-quality_classifier.NEIGHBOURS]
+        near = [(max(float(s), 0) ** quality_classifier.SHARPNESS, y[i]) for i, s in enumerate(sims) if s >= least - 1.5e-6]
+        assert abs(got[k] - sum(w * b for w, b in near) / sum(w for w, _ in near)) < 0.02
+    words = [t.lower().split() for t in texts]
+    assert all(counts[i, quality_classifier.FAMILIES[1][0] : quality_classifier.FAMILIES[1][1]].sum() == len(w) for i, w in enumerate(words))
+    assert all(counts[i, quality_classifier.FAMILIES[2][0] :].sum() == sum(max(0, len(x) - 2) for x in w) for i, w in enumerate(words))
+
+
+def test_toxicity_is_the_highest_window(spark):
+    """Scores of texts against each window by itself, by a plain recurrence."""
+    rng = np.random.default_rng(1)
+    net = toxicity.Network(3)
+    for v in net.p.values():
+        v += rng.standard_normal(v.shape).astype(np.float32) * 0.3
+    text = " ".join(rng.choice(["bad", "Good", "words", "é1"], 75)).encode()
+    x, at = toxicity.inputs(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    sig, p, h = lambda z: 1 / (1 + np.exp(-z)), net.p, toxicity.HIDDEN
+
+    def window(rows):
+        e = p["word"][rows[:, 0]] + sum(p["tri"][rows[:, k]] for k in (1, 2, 3))
+        states = []
+        for side, order in (("f", range(len(e))), ("b", range(len(e) - 1, -1, -1))):
+            s, out = np.zeros(h), {}
+            for t in order:
+                a, b = e[t] @ p[f"w{side}"] + p[f"c{side}"], s @ p[f"u{side}"]
+                z, r = sig(a[:h] + b[:h]), sig(a[h : 2 * h] + b[h : 2 * h])
+                s = (1 - z) * np.tanh(a[2 * h :] + r * b[2 * h :]) + z * s
+                out[t] = s
+            states.append(np.array([out[t] for t in range(len(e))]))
+        state = np.concatenate(states, axis=1)
+        weight = np.exp(np.tanh(state @ p["wa"] + p["ca"]) @ p["va"])
+        return float(sig((weight / weight.sum()) @ state @ p["wo"] + p["co"][0]))
+
+    starts = [*range(0, 75 - toxicity.WINDOW, toxicity.STRIDE), 75 - toxicity.WINDOW]
+    assert len(x) == 75 and abs(net.score_texts(x, at)[0] - max(window(x[s : s + toxicity.WINDOW]) for s in starts)) < 1e-4
