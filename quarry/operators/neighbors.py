@@ -19,6 +19,8 @@ from quarry.plans.aggregate import class_moments
 from quarry.plans.shipping import ship
 
 BLOCK, CHUNK = 8192, 4096
+#: The label of a neighbour, under a name that can't be one of its other columns.
+LABEL = "__label"
 
 
 def _vectors(df: DataFrame, row: str, features: list[str], extra: list[str]) -> DataFrame:
@@ -88,7 +90,8 @@ class _Neighbours(BaseEstimator):
         return self
 
     def _pairs(self, df, **kw):
-        return neighbour_pairs(df, self._base, self.features_, self.row_, metric=self.metric, p=self.p, extra=[self.label_] if self.label_ else [], **kw)
+        base = self._base.withColumn(LABEL, F.col(self.label_)) if self.label_ else self._base
+        return neighbour_pairs(df, base, self.features_, self.row_, metric=self.metric, p=self.p, extra=[LABEL] if self.label_ else [], **kw)
 
     def _join(self, df, predicted, output):
         return df.join(predicted.withColumnRenamed("query", self.row_).withColumnRenamed("prediction", output), self.row_, "left")
@@ -98,12 +101,12 @@ class KNeighborsClassifier(Classifier, _Neighbours):
     params = {"n_neighbors": 5}
 
     def predict(self, df, output="prediction"):
-        return self._join(df, weighted_mode(resolve_distance_weights(self._pairs(df, k=self.n_neighbors), self.weights), self.label_), output)
+        return self._join(df, weighted_mode(resolve_distance_weights(self._pairs(df, k=self.n_neighbors), self.weights), LABEL), output)
 
     def predict_proba(self, df, output="probability"):
         w = resolve_distance_weights(self._pairs(df, k=self.n_neighbors), self.weights)
-        share = w.groupBy("query", self.label_).agg(F.sum("w").alias("w"))
-        total = share.groupBy("query").agg(F.map_from_entries(F.collect_list(F.struct(F.col(self.label_), F.col("w")))).alias("m"), F.sum("w").alias("t"))
+        share = w.groupBy("query", LABEL).agg(F.sum("w").alias("w"))
+        total = share.groupBy("query").agg(F.map_from_entries(F.collect_list(F.struct(F.col(LABEL), F.col("w")))).alias("m"), F.sum("w").alias("t"))
         return self._join(df, total.select("query", F.map_from_entries(F.transform(F.map_entries("m"), lambda e: F.struct(e["key"], e["value"] / F.col("t")))).alias("prediction")), output)
 
     def fit_arrays(self, x, y, w=None):
@@ -136,14 +139,14 @@ class KNeighborsRegressor(Regressor, _Neighbours):
 
     def predict(self, df, output="prediction"):
         w = resolve_distance_weights(self._pairs(df, k=self.n_neighbors), self.weights)
-        return self._join(df, w.groupBy("query").agg((F.sum(F.col("w") * F.col(self.label_)) / F.sum("w")).alias("prediction")), output)
+        return self._join(df, w.groupBy("query").agg((F.sum(F.col("w") * F.col(LABEL)) / F.sum("w")).alias("prediction")), output)
 
 
 class RadiusNeighborsClassifier(Classifier, _Neighbours):
     params = {"radius": 1.0, "outlier_label": None}
 
     def predict(self, df, output="prediction"):
-        out = self._join(df, weighted_mode(resolve_distance_weights(self._pairs(df, radius=self.radius), self.weights), self.label_), output)
+        out = self._join(df, weighted_mode(resolve_distance_weights(self._pairs(df, radius=self.radius), self.weights), LABEL), output)
         lone = F.lit(float(self.outlier_label)) if self.outlier_label is not None else F.raise_error(F.lit("a row has no neighbour within the radius")).cast("double")
         return out.withColumn(output, F.when(F.col(output).isNull(), lone).otherwise(F.col(output)))
 
@@ -153,7 +156,7 @@ class RadiusNeighborsRegressor(Regressor, _Neighbours):
 
     def predict(self, df, output="prediction"):
         w = resolve_distance_weights(self._pairs(df, radius=self.radius), self.weights)
-        out = self._join(df, w.groupBy("query").agg((F.sum(F.col("w") * F.col(self.label_)) / F.sum("w")).alias("prediction")), output)
+        out = self._join(df, w.groupBy("query").agg((F.sum(F.col("w") * F.col(LABEL)) / F.sum("w")).alias("prediction")), output)
         return out.withColumn(output, F.coalesce(output, F.lit(float("nan"))))
 
 

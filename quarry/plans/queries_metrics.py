@@ -122,13 +122,17 @@ emi as (select sum(k / n * ln(n * k / (r * c)) * exp(lgamma(r + 1) + lgamma(c +
 )
 
 
+#: Components of the vectors of the table embeddings, all of which are columns.
+DIMENSIONS = 64
+
+
 def embeddings(spark: SparkSession, d: str) -> DataFrame:
     t = spark.read.parquet(f"{d}/embeddings.parquet")
-    return t.select(F.col("vec_id").alias("row_id"), F.col("label").cast("double").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(8)])
+    return t.select(F.col("vec_id").alias("row_id"), F.col("label").cast("double").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(DIMENSIONS)])
 
 
-EMB = "t as (select vec_id as row_id, label::double as label, list_transform(embedding[1:8], lambda x: x::double) as x from embeddings)"
-XS = [f"x{i}" for i in range(8)]
+EMB = "t as (select vec_id as row_id, label::double as label, list_transform(embedding, lambda x: x::double) as x from embeddings)"
+XS = [f"x{i}" for i in range(DIMENSIONS)]
 Q["silhouette_samples"] = lambda spark, d: M.silhouette_samples(embeddings(spark, d), XS, "label").select("row", F.round("value", 6).alias("value"))
 _SIL = f"""with {EMB}, m as (select a.row_id as row, a.label as k, b.label as k2, avg(list_distance(a.x, b.x)) as d from t a join t b on a.row_id <> b.row_id group by all),
 g as (select row, max(case when k = k2 then d end) as a, min(case when k <> k2 then d end) as b from m group by row),
@@ -136,9 +140,9 @@ r as (select row, case when a is null then 0 else (b - a) / greatest(a, b) end a
 SQL["silhouette_samples"] = _SIL + " select row, round(value, 6) as value from r"
 Q["silhouette_score"] = lambda spark, d: M.silhouette_score(embeddings(spark, d), XS, "label").select(F.round("value", 6).alias("value"))
 SQL["silhouette_score"] = _SIL + " select round(avg(value), 6) as value from r"
-_CEN = f"with {EMB}, c as (select label, count(*)::double as n, [{', '.join(f'avg(x[{i + 1}])' for i in range(8))}] as m, {' + '.join(f'var_pop(x[{i + 1}])' for i in range(8))} as v from t group by label)"
+_CEN = f"with {EMB}, c as (select label, count(*)::double as n, [{', '.join(f'avg(x[{i + 1}])' for i in range(DIMENSIONS))}] as m, {' + '.join(f'var_pop(x[{i + 1}])' for i in range(DIMENSIONS))} as v from t group by label)"
 Q["davies_bouldin_score"] = lambda spark, d: M.davies_bouldin_score(embeddings(spark, d), XS, "label").select(F.round("value", 6).alias("value"))
 SQL["davies_bouldin_score"] = _CEN + ", s as (select c.label, c.m, avg(list_distance(t.x, c.m)) as s from t join c using (label) group by all), r as (select a.label, max((a.s + b.s) / list_distance(a.m, b.m)) as r from s a join s b on a.label <> b.label group by all) select round(avg(r), 6) as value from r"
 Q["calinski_harabasz_score"] = lambda spark, d: M.calinski_harabasz_score(embeddings(spark, d), XS, "label").select(F.round("value", 6).alias("value"))
-_BET = " + ".join(f"(sum(n * m[{i}] ** 2) - sum(n * m[{i}]) ** 2 / sum(n))" for i in range(1, 9))
+_BET = " + ".join(f"(sum(n * m[{i}] ** 2) - sum(n * m[{i}]) ** 2 / sum(n))" for i in range(1, DIMENSIONS + 1))
 SQL["calinski_harabasz_score"] = _CEN + f" select round(({_BET}) * (sum(n) - count(*)) / (sum(n * v) * (count(*) - 1)), 6) as value from c"
