@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["queries_metrics", "queries_columns", "queries_models", "queries_exact"]
+MODULES = ["queries_metrics", "queries_columns", "queries_models", "queries_exact", "queries_sparse"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
