@@ -28,7 +28,8 @@ def tokens(text: str, lowercase: bool = True, stop_words: tuple = (), ngram_rang
     lo, hi = ngram_range
     if (lo, hi) == (1, 1):
         return words
-    return F.concat(*[F.when(F.size(words) >= n, _runs(words, n)).otherwise(F.array().cast("array<string>")) for n in range(lo, hi + 1)])
+    # as a lambda's variable the words are split once for a text, not again for each run
+    return F.flatten(F.transform(F.array(words), lambda w: F.concat(*[F.when(F.size(w) >= n, _runs(w, n)).otherwise(F.array().cast("array<string>")) for n in range(lo, hi + 1)])))
 
 
 def _runs(words: Column, n: int) -> Column:

@@ -206,6 +206,16 @@ def _tfidf(spark, d):
 
 Q["tfidf_vectorizer"] = _tfidf
 SQL["tfidf_vectorizer"] = _TF.replace("{nd}", "(select nd from nd)")
+def _ngrams(spark, d):
+    df = _docs(spark, d)
+    return text.CountVectorizer(ngram_range=(2, 2), min_df=20).fit(df, "text").transform(df)
+
+
+_BI = r"lst as (select doc_id as row, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}') as w from documents), tok as (select row, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as term from lst where len(w) >= 2), cnt as (select row, term, count(*) as n from tok group by all), nd as (select count(*) as nd from documents)" + VOC.replace(">= 5", ">= 20")
+Q["count_vectorizer_ngrams"] = _ngrams
+SQL["count_vectorizer_ngrams"] = f"with {_BI} select row, term, index, n from cnt join voc using (term)"
+Q["tfidf_ngrams"] = lambda spark, d: text.TfidfVectorizer(ngram_range=(2, 2), min_df=20).fit(_docs(spark, d), "text").transform(_docs(spark, d)).select("row", "term", F.round("value", 6).alias("value"))
+SQL["tfidf_ngrams"] = f"with {_BI}, w as (select row, term, n * (ln((1 + (select nd from nd)) / (1 + df)::double) + 1) as v from cnt join voc using (term)) select row, term, round(v / sqrt(sum(v * v) over (partition by row)), 6) as value from w"
 Q["hashing_vectorizer"] = lambda spark, d: text.HashingVectorizer(n_features=1024).transform(_docs(spark, d), "text").select("row", "index", F.round("value", 6).alias("value"))
 Q["murmur_hash3"] = lambda spark, d: read(spark, d, "part").select("p_partkey", text.murmur3("p_name").alias("h"))
 Q["feature_hasher"] = lambda spark, d: text.FeatureHasher(n_features=64).transform(read(spark, d, "part").select(F.col("p_partkey").alias("row_id"), F.create_map(F.lit("brand"), "p_brand", F.lit("size"), F.col("p_size").cast("string")).alias("m")), "m")
