@@ -104,7 +104,11 @@ class KMeans(Clusterer, BaseEstimator):
 
 
 class MiniBatchKMeans(KMeans):
-    """Centres move towards the means of random batches, by their share of the counts; empty ones are dealt anew."""
+    """Centres move towards the means of random batches, by their share of the counts; empty ones are dealt anew.
+
+    ``fit`` draws its batch_size * max_iter rows by their hash from the whole table: sampling is the method.
+    ``partial_fit`` takes every row of a table in one pass of sums, and so each batch of a stream.
+    """
 
     params = {"n_clusters": 8, "max_iter": 100, "batch_size": 1024, "max_no_improvement": 10, "n_init": 3, "reassignment_ratio": 0.01}
 
@@ -134,6 +138,27 @@ class MiniBatchKMeans(KMeans):
         self.labels_ = self.predict_arrays(x)
         return self
 
+    def partial_fit(self, df, features):
+        """Moves the centres by all rows of df at once: one pass of sums; the first call also chooses the centres."""
+        self.features_ = list(features)
+        if not hasattr(self, "cluster_centers_"):
+            x = gather(df.orderBy(F.xxhash64(*features)).limit(self.sample), features)
+            self.cluster_centers_ = kmeans_plus_plus(x, self.n_clusters, np.random.default_rng(self.random_state))
+            self.counts_ = np.zeros(len(self.cluster_centers_))
+        c = self.cluster_centers_
+
+        def kernel(rows):
+            hot = (pairwise(rows, c).argmin(axis=1)[:, None] == np.arange(len(c))).astype(float)
+            return np.concatenate([hot.sum(axis=0), (hot.T @ rows).ravel()])
+
+        s = partial_sums(df, list(features), kernel)
+        if len(s):
+            n, total = s[: len(c)], s[len(c) :].reshape(c.shape)
+            self.counts_ = self.counts_ + n
+            got = n > 0
+            self.cluster_centers_ = np.where(got[:, None], c + (total - n[:, None] * c) / np.where(got, self.counts_, 1)[:, None], c)
+        return self
+
     def partial_arrays(self, b, c, rng):
         d = pairwise(b, c)
         at = d.argmin(axis=1)
