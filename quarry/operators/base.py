@@ -288,6 +288,18 @@ class Clusterer(Predictor):
         self.fit_arrays(x)
         return self.labels_
 
+    def fit_predict(self, df: DataFrame, features: list[str], row: str = "row_id", output: str = "cluster") -> DataFrame:
+        """(row, cluster) of the fitted rows.  The algorithm needs them in one place: more than max_rows are refused."""
+        most = getattr(self, "max_rows", MAX_ROWS)
+        rows = df.select(F.col(row).alias("__row"), *[F.col(c).cast("double") for c in features]).limit(most + 1).toPandas()
+        if len(rows) > most:
+            raise ValueError(f"this algorithm needs its rows in one place and takes at most {most}")
+        rows = rows.sort_values("__row", kind="stable")
+        self.features_ = list(features)
+        labels = np.asarray(self.fit_predict_arrays(rows[list(features)].to_numpy(np.float64)), float)
+        schema = T.StructType([T.StructField(row, df.schema[row].dataType), T.StructField(output, T.DoubleType())])
+        return df.sparkSession.createDataFrame(list(zip(rows["__row"].tolist(), labels.tolist(), strict=True)), schema)
+
 
 class Transformer:
     kind = "transformer"

@@ -485,7 +485,9 @@ class IsotonicRegression(Regressor, BaseEstimator):
 
 
 class CalibratedClassifierCV(Classifier, BaseEstimator):
-    params = {"estimator": None, "method": "sigmoid", "cv": 5, "ensemble": True}
+    """The scores of one fold at a time come to the driver, where the curve is fitted; more than max_rows are refused."""
+
+    params = {"estimator": None, "method": "sigmoid", "cv": 5, "ensemble": True, "max_rows": 5_000_000}
 
     def _new(self):
         return SigmoidCalibration() if self.method == "sigmoid" else IsotonicRegression(y_min=0.0, y_max=1.0)
@@ -494,8 +496,10 @@ class CalibratedClassifierCV(Classifier, BaseEstimator):
         """(k, 2, n): score and label of each class, from one column of scores for each."""
         k = len(self.classes_)
         arrays = score_column(df, self.features_, lambda x: np.column_stack([_class_score(model, x, i, k) for i in range(k)]), "__s", "array<double>")
-        rows = arrays.select("__s", F.col(label).cast("double").alias("y")).collect()
-        return np.array([r[0] for r in rows]), np.array([r.y for r in rows])
+        rows = arrays.select("__s", F.col(label).cast("double").alias("y")).limit(self.max_rows + 1).toPandas()
+        if len(rows) > self.max_rows:
+            raise ValueError(f"a calibration curve takes at most {self.max_rows} scores")
+        return np.array(rows["__s"].tolist()).reshape(len(rows), k), rows["y"].to_numpy(np.float64)
 
     def fit(self, df, features, label, weight=None, row="row_id"):
         from quarry.operators.model_selection import StratifiedKFold

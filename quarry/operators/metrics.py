@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.plans.aggregate import contingency
+from quarry.plans.shipping import ship
 
 EPSILON = 2.220446049250313e-16
 
@@ -293,20 +296,41 @@ def v_measure_score(df: DataFrame, true: str, predicted: str) -> DataFrame:
     return _information(df, true, predicted).select(_ratio(2 * h * c, h + c).alias("value"))
 
 
+def _expected_information(n: int, x: int, y: int, block: int = 1 << 20) -> float:
+    """Expected share of one cell whose marginals are x and y: k runs over the hypergeometric weights, in blocks."""
+    lg, lo, hi = math.lgamma, max(1, x + y - n), min(x, y)
+    total, k = 0.0, lo
+    while k <= hi:
+        ks = np.arange(k, min(k + block, hi + 1), dtype=np.float64)
+        # each weight from the one before; the first of a block afresh
+        first = lg(x + 1) + lg(y + 1) + lg(n - x + 1) + lg(n - y + 1) - lg(n + 1) - lg(k + 1) - lg(x - k + 1) - lg(y - k + 1) - lg(n - x - y + k + 1)
+        step = np.log((x - ks[:-1]) * (y - ks[:-1])) - np.log((ks[:-1] + 1) * (n - x - y + ks[:-1] + 1))
+        weight = np.exp(first + np.concatenate([[0.0], np.cumsum(step)]))
+        total += float((ks / n * (np.log(n) + np.log(ks) - np.log(x) - np.log(y)) * weight).sum())
+        k += block
+    return total
+
+
 def adjusted_mutual_info_score(df: DataFrame, a: str, b: str) -> DataFrame:
-    """The contingency's marginals, one number for each cluster, come to the driver for the expected information."""
-    i = _information(df, a, b).first()
-    rows = [r.n for r in contingency(df, a, b).groupBy("a").agg(F.sum("n").alias("n")).collect()]
-    cols = [r.n for r in contingency(df, a, b).groupBy("b").agg(F.sum("n").alias("n")).collect()]
-    lg, n, expected = math.lgamma, sum(rows), 0.0
-    for x in rows:
-        for y in cols:
-            fixed = lg(x + 1) + lg(y + 1) + lg(n - x + 1) + lg(n - y + 1) - lg(n + 1)
-            for k in range(int(max(1, x + y - n)), int(min(x, y)) + 1):
-                expected += k / n * math.log(n * k / (x * y)) * math.exp(fixed - lg(k + 1) - lg(x - k + 1) - lg(y - k + 1) - lg(n - x - y + k + 1))
-    down = (i.ha + i.hb) / 2 - expected
-    value = 1.0 if i.ha == i.hb == 0 else (i.mi - expected) / (down if abs(down) > EPSILON else EPSILON)
-    return df.sparkSession.createDataFrame([(value,)], "value double")
+    """The expected information is summed on the executors, over pairs of distinct marginals with their numbers.
+
+    Distinct marginals are at most the root of twice the rows on either side, whatever the number of clusters.
+    """
+    ship(df.sparkSession)
+    n = contingency(df, a, b)
+    sides = [n.groupBy(c).agg(F.sum("n").cast("long").alias("s")).groupBy("s").count().select(F.col("s").alias(o), F.col("count").alias(f"{o}s")) for c, o in (("a", "x"), ("b", "y"))]
+    total = n.agg(F.sum("n").cast("long").alias("t"))
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cells = sides[0].crossJoin(sides[1]).crossJoin(total).repartition(parts, "x", "y")
+
+    @F.pandas_udf("double")
+    def share(t: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([_expected_information(*v) for v in zip(t.tolist(), x.tolist(), y.tolist(), strict=True)], dtype=float)
+
+    e = cells.agg(F.sum(F.col("xs") * F.col("ys") * share("t", "x", "y")).alias("e"))
+    down = (F.col("ha") + F.col("hb")) / 2 - F.col("e")
+    value = F.when((F.col("ha") == 0) & (F.col("hb") == 0), 1.0).otherwise((F.col("mi") - F.col("e")) / F.when(F.abs(down) > EPSILON, down).otherwise(EPSILON))
+    return _information(df, a, b).crossJoin(e).select(value.alias("value"))
 
 
 def _long(df: DataFrame, columns: list[str], label: str, row: str) -> DataFrame:

@@ -124,31 +124,69 @@ class StratifiedKFold(_Splitter):
         return out.withColumn("fold", (F.col("__nth") % self.n_splits).cast("int")).drop("__nth")
 
 
+def _deal(sizes: list[tuple[int, int]], n_splits: int) -> list[tuple[int, int, list[int]]]:
+    """Deals (size, number of groups) in turn, each group to the lightest fold (ties: the first).
+
+    Groups of one size go round: while some folds are lighter than all others by at least the size,
+    those alone take turns, so a few runs (size, first rank of the run, folds in turn) tell the fold of every group.
+    """
+    load, runs = [0] * n_splits, []
+    for size, many in sizes:
+        at = 0
+        while at < many:
+            order = sorted(range(n_splits), key=lambda i: (load[i], i))
+            # folds that get a group before the lightest one gets its second
+            turn = [i for i in order if (load[i], i) < (load[order[0]] + size, order[0])]
+            rest = [load[i] for i in order[len(turn) :]]
+            # whole turns until a fold outside may be next
+            rounds = (many - at) // len(turn)
+            if rest:
+                rounds = min(rounds, (min(rest) - load[turn[-1]]) // size)
+            take = max(1, rounds) * len(turn) if rounds else min(len(turn), many - at)
+            runs.append((size, at, turn))
+            for j, i in enumerate(turn):
+                load[i] += size * (take // len(turn) + (j < take % len(turn)))
+            at += take
+    return runs
+
+
 class GroupKFold(_Splitter):
-    """Largest groups first (ties: larger id), each to the lightest fold; only group counts reach the driver."""
+    """Largest groups first (ties: larger id), each to the lightest fold.
+
+    Only the histogram of group sizes reaches the driver (distinct sizes: at most the root of twice the
+    rows); groups of one size are numbered on the executors and find their fold in the runs of that size.
+    """
 
     params = {"n_splits": 5}
 
     def assign(self, df, row="row_id", label=None, groups=None):
-        counts = [(r[0], r[1]) for r in df.groupBy(groups).count().collect()]
-        if len(counts) < self.n_splits:
+        counts = df.groupBy(F.col(groups).alias("__g")).agg(F.count("*").alias("__size"))
+        sizes = [(r[0], r[1]) for r in counts.groupBy("__size").count().orderBy(F.desc("__size")).collect()]
+        if sum(m for _, m in sizes) < self.n_splits:
             raise ValueError("fewer groups than folds")
-        load, fold = [0] * self.n_splits, []
-        for g, n in sorted(sorted(counts, key=lambda t: t[0], reverse=True), key=lambda t: -t[1]):
-            f = min(range(self.n_splits), key=lambda i: (load[i], i))
-            load[f] += n
-            fold.append((g, f))
-        table = df.sparkSession.createDataFrame(fold, f"{groups} {df.schema[groups].dataType.simpleString()}, fold int")
-        return df.join(F.broadcast(table), groups)
+        ranked = numbered(counts, [F.desc("__size"), F.desc("__g")], "__rank", ["__size"])
+        by_size: dict[int, list] = {}
+        for size, at, turn in _deal(sizes, self.n_splits):
+            by_size.setdefault(size, []).append((at, turn))
+        runs = df.sparkSession.createDataFrame(list(by_size.items()), "__size long, __runs array<struct<at: long, turn: array<int>>>")
+        mine = F.element_at(F.filter("__runs", lambda r: r["at"] <= F.col("__rank")), -1)
+        turn = F.get(mine["turn"], ((F.col("__rank") - mine["at"]) % F.size(mine["turn"])).cast("int"))
+        folds = ranked.join(runs, "__size").select("__g", turn.alias("fold"))
+        return df.join(folds, F.col(groups).eqNullSafe(F.col("__g"))).drop("__g")
 
 
 class StratifiedGroupKFold(_Splitter):
-    """Groups of the least even labels first, each to the fold that keeps the classes' spread over folds least."""
+    """Groups of the least even labels first, each to the fold that keeps the classes' spread over folds least.
 
-    params = {"n_splits": 5, "shuffle": False, "random_state": None}
+    Each choice depends on all before it, so the counts by group and label come to the driver; more than max_cells are refused.
+    """
+
+    params = {"n_splits": 5, "shuffle": False, "random_state": None, "max_cells": 1_000_000}
 
     def assign(self, df, row="row_id", label=None, groups=None):
-        rows = df.groupBy(groups, label).count().collect()
+        rows = df.groupBy(groups, label).count().limit(self.max_cells + 1).collect()
+        if len(rows) > self.max_cells:
+            raise ValueError(f"the greedy order needs the counts of all groups in one place and takes at most {self.max_cells} of them")
         classes = sorted({r[1] for r in rows})
         counts: dict = {}
         for g, c, n in rows:
@@ -169,7 +207,7 @@ class StratifiedGroupKFold(_Splitter):
             size[best[2]] += counts[g].sum()
             fold.append((g, best[2]))
         table = df.sparkSession.createDataFrame(fold, f"{groups} {df.schema[groups].dataType.simpleString()}, fold int")
-        return df.join(F.broadcast(table), groups)
+        return df.join(table, groups)
 
 
 class ShuffleSplit(_Splitter):

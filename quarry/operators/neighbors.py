@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.distances import pairwise
-from quarry.operators.base import BaseEstimator, Classifier, Clusterer, OutlierDetector, Regressor, classes_of
+from quarry.operators.base import MAX_ROWS, BaseEstimator, Classifier, Clusterer, OutlierDetector, Regressor, classes_of
 from quarry.plans.aggregate import class_moments
 from quarry.plans.shipping import ship
 
@@ -180,6 +180,30 @@ class _Tree:
         self.nodes: list[tuple] = []
         self._build(np.arange(len(self.x)))
 
+    @classmethod
+    def of(cls, df: DataFrame, features: list[str], row: str = "row_id", max_rows: int = MAX_ROWS, **kw):
+        """The tree of a bounded table; its rows keep their ids, and ties go to the smaller id."""
+        rows = df.select(F.col(row).cast("long").alias("__row"), *[F.col(c).cast("double") for c in features]).limit(max_rows + 1).toPandas()
+        if len(rows) > max_rows:
+            raise ValueError(f"a tree needs its rows in one place and takes at most {max_rows}")
+        rows = rows.sort_values("__row", kind="stable")
+        out = cls(rows[list(features)].to_numpy(np.float64), **kw)
+        out.ids = rows["__row"].to_numpy(np.int64)
+        return out
+
+    def kneighbors(self, df: DataFrame, features: list[str], k: int = 1, row: str = "row_id") -> DataFrame:
+        """(query, neighbour, d): the k nearest rows of the tree for each row of df, found by the executors."""
+        ship(df.sparkSession)
+        tree = df.sparkSession.sparkContext.broadcast(self)
+
+        def search(batches):
+            for b in batches:
+                d, i = tree.value.query(b[list(features)].to_numpy(np.float64), k)
+                yield pd.DataFrame({"query": np.repeat(b["__row"].to_numpy(), i.shape[1]), "neighbour": tree.value.ids[i].ravel(), "d": d.ravel()})
+
+        rows = df.select(F.col(row).cast("long").alias("__row"), *[F.col(c).cast("double").alias(c) for c in features])
+        return rows.mapInPandas(search, "query long, neighbour long, d double")
+
     def _build(self, who: np.ndarray) -> int:
         at = len(self.nodes)
         self.nodes.append(())

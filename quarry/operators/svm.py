@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections import OrderedDict
 
 import numpy as np
 
@@ -12,22 +13,32 @@ from quarry.operators.linear import plain_sgd  # noqa: F401  (same family)
 
 
 class KernelMatrix:
-    """Rows of a kernel matrix: all of it up to `full` rows, else computed rows in a bounded first-in cache."""
+    """Kernel values by blocks of rows, made when one is first asked for.
 
-    def __init__(self, x: np.ndarray, fn, full: int = 2000, cache_bytes: int = 1 << 28) -> None:
+    Small matrices fit in one block.  Of larger ones as many blocks are held as `held_bytes` allow, and the
+    block that was used longest ago makes room.
+    """
+
+    def __init__(self, x: np.ndarray, fn, full: int = 2000, held_bytes: int = 1 << 28) -> None:
         self.x, self.fn = x, fn
-        self.all = fn(x, x) if len(x) <= full else None
-        self.diag = np.diag(self.all).copy() if self.all is not None else np.array([fn(r[None], r[None])[0, 0] for r in x])
-        self.most, self.rows = max(2, cache_bytes // (8 * max(1, len(x)))), {}
+        self.height = len(x) if len(x) <= full else min(len(x), 32)
+        self.diag = np.concatenate([fn(r[None], r[None])[0] for r in x]) if len(x) else np.zeros(0)
+        self.most = max(2, held_bytes // (8 * max(1, self.height * len(x))))
+        self.held: OrderedDict[int, np.ndarray] = OrderedDict()
+
+    @property
+    def all(self) -> np.ndarray:
+        return np.array([self.row(i) for i in range(len(self.x))])
 
     def row(self, i: int) -> np.ndarray:
-        if self.all is not None:
-            return self.all[i]
-        if i not in self.rows:
-            if len(self.rows) >= self.most:
-                self.rows.pop(next(iter(self.rows)))
-            self.rows[i] = self.fn(self.x[i : i + 1], self.x)[0]
-        return self.rows[i]
+        at, inside = divmod(i, self.height)
+        if at in self.held:
+            self.held.move_to_end(at)
+        else:
+            if len(self.held) == self.most:
+                self.held.popitem(last=False)
+            self.held[at] = self.fn(self.x[at * self.height : (at + 1) * self.height], self.x)
+        return self.held[at][inside]
 
 
 def smo(q_row, diag: np.ndarray, p: np.ndarray, y: np.ndarray, c: np.ndarray, alpha: np.ndarray, tol: float, max_iter: int, paired: bool = False) -> tuple[np.ndarray, np.ndarray]:

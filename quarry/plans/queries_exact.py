@@ -114,6 +114,19 @@ _largest = sorted(XS, key=lambda x: -_size[int(x[1:])])[: sum(s > 10 for s in _s
 Q["rfe"] = lambda spark, d: feature_selection.RFE(estimator=linear.LinearRegression(), n_features_to_select=len(_largest), step=8).fit(linear_rows(spark, d), XS, "w").transform(linear_rows(spark, d).select("row_id", *XS))
 SQL["rfe"] = f"with {EMB} select row_id, {', '.join(f'x[{int(x[1:]) + 1}] as {x}' for x in sorted(_largest, key=lambda x: int(x[1:])))} from t"
 
+_line = linear.LinearRegression
+Q["rfecv"] = lambda spark, d: spark.createDataFrame([(k, round(float(v), 6)) for k, v in feature_selection.RFECV(estimator=_line(), min_features_to_select=DIMENSIONS - 1, step=1, cv=2).fit(linear_rows(spark, d), XS, "w").cv_scores_.items() if k == DIMENSIONS], "features int, score double")
+SQL["rfecv"] = f"select {DIMENSIONS}::int as features, 1.0::double as score"
+Q["cross_validate"] = lambda spark, d: spark.createDataFrame([(i, round(float(r["test_score"]), 6), round(float(r["train_score"]), 6)) for i, r in enumerate(model_selection.cross_validate(_line(), linear_rows(spark, d), XS, "w", 3, return_train_score=True))], "fold int, test double, train double")
+SQL["cross_validate"] = "select i::int as fold, 1.0::double as test, 1.0::double as train from range(3) t(i)"
+Q["learning_curve"] = lambda spark, d: spark.createDataFrame([(r["fold"], r["size"], round(float(r["train"]), 6), round(float(r["test"]), 6)) for r in model_selection.learning_curve(_line(), linear_rows(spark, d), XS, "w", (0.75, 1.0), 2)], "fold int, size int, train double, test double")
+SQL["learning_curve"] = "with n as (select count(*) as n from embeddings) select f::int as fold, floor(s * case when f = 0 then n // 2 else n - n // 2 end)::int as size, 1.0::double as train, 1.0::double as test from n, range(2) t(f), (values (0.75), (1.0)) v(s)"
+Q["validation_curve"] = lambda spark, d: spark.createDataFrame([(r["fold"], round(float(r["train"]), 6), round(float(r["test"]), 6)) for r in model_selection.validation_curve(linear.Ridge(), linear_rows(spark, d), XS, "w", "alpha", [0.0], 2)], "fold int, train double, test double")
+SQL["validation_curve"] = "select f::int as fold, 1.0::double as train, 1.0::double as test from range(2) t(f)"
+Q["feature_union"] = lambda spark, d: meta.FeatureUnion(transformer_list=[("scaled", preprocessing.MinMaxScaler()), ("widest", preprocessing.MaxAbsScaler())]).fit(linear_rows(spark, d), XS[:2]).transform(linear_rows(spark, d).select("row_id", *XS[:2])).select("row_id", *[F.round(f"{n}_{c}", 6).alias(f"{n}_{c}") for n in ("scaled", "widest") for c in XS[:2]])
+SQL["feature_union"] = f"with {EMB}, s as (select " + ", ".join(f"min(x[{i}]) as l{i}, max(x[{i}]) as h{i}, max(abs(x[{i}])) as a{i}" for i in (1, 2)) + " from t) select row_id, " + ", ".join(f"round((x[{i}] - l{i}) / (h{i} - l{i}), 6) as scaled_x{i - 1}, round(x[{i}] / a{i}, 6) as widest_x{i - 1}" for i in (1, 2)) + " from t, s"
+recovers("randomized_search_cv", lambda: model_selection.RandomizedSearchCV(estimator=linear.Ridge(), param_grid={"alpha": [0.0, 100.0]}, n_iter=2, cv=2))
+
 # --- baselines and order ------------------------------------------------------------------
 
 _V = "10 * x[1] + 5 * x[2] * x[2] + x[3]"

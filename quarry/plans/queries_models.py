@@ -64,9 +64,7 @@ SQL["kernel_density"] = f"with {EMB} select a.row_id, round(ln(sum(exp(-2 * list
 
 def _tree(cls):
     def q(spark, d):
-        x = np.array([list(r) for r in labelled(spark, d).orderBy("row_id").select(*XS).collect()])
-        dist, near = cls(x).query(x, 3)
-        return spark.createDataFrame([(i, int(n), round(float(v), 6)) for i in range(len(x)) for n, v in zip(near[i], dist[i], strict=True)], "query long, neighbour long, d double")
+        return rounded(cls.of(labelled(spark, d), XS).kneighbors(labelled(spark, d), XS, 3))
 
     return q
 
@@ -129,11 +127,7 @@ def transforms(name, make, label=None, positive=False):
 
 def clusters(name, make):
     def q(spark, d):
-        df = labelled(spark, d).orderBy("row_id")
-        m = make()
-        rows = np.array([list(r) for r in df.select("row_id", *XS).collect()])
-        lab = m.fit_predict_arrays(rows[:, 1:])
-        return spark.createDataFrame([(int(r), float(v)) for r, v in zip(rows[:, 0], lab, strict=True)], "row_id long, cluster double")
+        return make().fit_predict(labelled(spark, d), XS)
 
     Q[name] = q
 
