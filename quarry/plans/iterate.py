@@ -12,6 +12,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
         if not where:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             import tempfile
 
             where = "file://" + tempfile.mkdtemp(prefix="quarry-checkpoint-")
