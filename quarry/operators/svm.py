@@ -163,7 +163,7 @@ def solve_one_class(k: KernelMatrix, n: int, nu, tol=1e-3, max_iter=-1):
     return a, -_offset(np.ones(n), g, a, c)
 
 
-_KERNEL = {"kernel": "rbf", "gamma": "scale", "degree": 3, "coef0": 0.0, "tol": 1e-3, "max_iter": -1}
+_KERNEL = {"kernel": "rbf", "gamma": "scale", "degree": 3, "coef0": 0.0, "tol": 1e-4, "max_iter": -1}
 
 
 class _Kernel(ArrayEstimator):
