@@ -41,3 +41,18 @@ def test_silhouette_by_blocks(spark):
         mean = {c: d[i, (k == c) & (np.arange(1500) != i)].mean() for c in set(k.tolist()) if ((k == c) & (np.arange(1500) != i)).any()}
         a, b = mean.pop(k[i], None), min(v for c, v in mean.items() if c != k[i])
         assert abs(got[i] - (0 if a is None else (b - a) / max(a, b))) < 1e-8
+
+
+def test_silhouette_score_is_the_mean_of_its_samples(spark):
+    x = rows(1500, 32, 1)
+    x[:20] = np.nan_to_num(x[:20]) * 1e-9 + 1e3  # far from the origin: differences cancel in products
+    df, names = table(spark, x, k=np.arange(1500) % 3)
+    began = time.time()
+    got = metrics.silhouette_score(df, names, "k").first()[0]
+    assert time.time() - began < 25
+    d, k, each = pairwise(x, x), np.arange(1500) % 3, []
+    for i in range(1500):
+        mean = [d[i, k == c].sum() / ((k == c).sum() - (c == k[i])) for c in range(3)]
+        a = mean.pop(k[i])
+        each.append((min(mean) - a) / max(a, min(mean)))
+    assert abs(got - np.mean(each)) < 1e-9
