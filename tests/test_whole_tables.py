@@ -56,3 +56,13 @@ def test_silhouette_score_is_the_mean_of_its_samples(spark):
         a = mean.pop(k[i])
         each.append((min(mean) - a) / max(a, min(mean)))
     assert abs(got - np.mean(each)) < 1e-9
+
+
+def test_mds_needs_no_matrix_of_pairs():
+    x = rows(3000, 6)
+    m, most = peak(lambda: manifold.MDS().fit_arrays(x))
+    assert most < 3000 * 3000 * 8 / 4
+    small = rows(60, 5)
+    assert np.allclose(manifold.MDS(n_components=3).fit_arrays(small).embedding_, manifold.MDS(n_components=3, dissimilarity="precomputed").fit_arrays(pairwise(small, small)).embedding_)
+    assert manifold.MDS(n_components=4).fit_arrays(rows(9, 2)).embedding_.shape == (9, 4)
+    assert m.max_rows > 10_256
