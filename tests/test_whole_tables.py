@@ -66,3 +66,11 @@ def test_mds_needs_no_matrix_of_pairs():
     assert np.allclose(manifold.MDS(n_components=3).fit_arrays(small).embedding_, manifold.MDS(n_components=3, dissimilarity="precomputed").fit_arrays(pairwise(small, small)).embedding_)
     assert manifold.MDS(n_components=4).fit_arrays(rows(9, 2)).embedding_.shape == (9, 4)
     assert m.max_rows > 10_256
+
+
+def test_mean_shift_by_blocks():
+    x = np.vstack([rows(1250, 16) * 0.01, rows(1250, 16, 1) * 0.01 + 1])
+    m, most = peak(lambda: cluster.MeanShift(bandwidth=1.0).fit_arrays(x))
+    assert most < 60e6 and len(m.cluster_centers_) == 2
+    edge = np.array([[0.0, 0], [0.6, 0], [0, 0.6], [0, 0.6 + 1e-12]])  # rows on the border are told by their differences
+    assert (cluster.MeanShift(bandwidth=0.6)._inside(edge, edge) == (pairwise(edge, edge) <= 0.6)).all()
