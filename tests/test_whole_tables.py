@@ -74,3 +74,19 @@ def test_mean_shift_by_blocks():
     assert most < 60e6 and len(m.cluster_centers_) == 2
     edge = np.array([[0.0, 0], [0.6, 0], [0, 0.6], [0, 0.6 + 1e-12]])  # rows on the border are told by their differences
     assert (cluster.MeanShift(bandwidth=0.6)._inside(edge, edge) == (pairwise(edge, edge) <= 0.6)).all()
+
+
+def test_linkage_needs_no_matrix_of_pairs():
+    x = rows(150, 3)
+    x[20:30] = x[20]
+    for method in ("ward", "single"):
+        got, want = cluster.linkage(x, method), cluster.linkage(x, "ward", "2-norm") if method == "ward" else None
+        if want:  # by Lance and Williams
+            assert np.allclose([h for _, _, h, _ in got], [h for _, _, h, _ in want], atol=1e-7)
+            assert (cluster.cut(got, 150, 5) == cluster.cut(want, 150, 5)).all()
+        assert got[-1][3] == 150
+    d = pairwise(x, x)
+    near = cluster.cut(cluster.linkage(x, "single"), 150, 4)
+    assert min(d[i, j] for i in range(150) for j in range(150) if near[i] != near[j]) >= sorted(h for _, _, h, _ in cluster.linkage(x, "single"))[-3] - 1e-12
+    _, most = peak(lambda: cluster.AgglomerativeClustering(n_clusters=4).fit_arrays(rows(2500)))
+    assert most < 2500 * 2500 * 8 / 4 and cluster.AgglomerativeClustering().max_rows > 10_256
