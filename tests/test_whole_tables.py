@@ -90,3 +90,10 @@ def test_linkage_needs_no_matrix_of_pairs():
     assert min(d[i, j] for i in range(150) for j in range(150) if near[i] != near[j]) >= sorted(h for _, _, h, _ in cluster.linkage(x, "single"))[-3] - 1e-12
     _, most = peak(lambda: cluster.AgglomerativeClustering(n_clusters=4).fit_arrays(rows(2500)))
     assert most < 2500 * 2500 * 8 / 4 and cluster.AgglomerativeClustering().max_rows > 10_256
+
+
+def test_hdbscan_needs_no_matrix_of_pairs():
+    x = np.vstack([rows(1500, 3) * 0.1, rows(1500, 3, 1) * 0.1 + 5])
+    m, most = peak(lambda: cluster.HDBScan(min_cluster_size=50).fit_arrays(x))
+    assert most < 3000 * 3000 * 8 / 2 and m.max_rows > 10_256
+    assert len(set(m.labels_[:1500]) - {-1.0}) == 1 and not set(m.labels_[:1500]) & set(m.labels_[1500:]) - {-1.0}
