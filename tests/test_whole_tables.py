@@ -97,3 +97,11 @@ def test_hdbscan_needs_no_matrix_of_pairs():
     m, most = peak(lambda: cluster.HDBScan(min_cluster_size=50).fit_arrays(x))
     assert most < 3000 * 3000 * 8 / 2 and m.max_rows > 10_256
     assert len(set(m.labels_[:1500]) - {-1.0}) == 1 and not set(m.labels_[:1500]) & set(m.labels_[1500:]) - {-1.0}
+
+
+def test_optics_needs_no_matrix_of_pairs():
+    x = np.vstack([rows(1500, 3) * 0.1, rows(1500, 3, 1) * 0.1 + 5])
+    m, most = peak(lambda: cluster.OPTICS(eps=0.5).fit_arrays(x))
+    assert most < 3000 * 3000 * 8 / 2 and m.max_rows > 10_256
+    assert np.allclose(m.core_distances_, np.sort(pairwise(x, x), axis=1)[:, 4])
+    assert len(set(m.labels_)) == 2 and len(set(m.labels_[:1500])) == 1
