@@ -105,3 +105,10 @@ def test_optics_needs_no_matrix_of_pairs():
     assert most < 3000 * 3000 * 8 / 2 and m.max_rows > 10_256
     assert np.allclose(m.core_distances_, np.sort(pairwise(x, x), axis=1)[:, 4])
     assert len(set(m.labels_)) == 2 and len(set(m.labels_[:1500])) == 1
+
+
+def test_birch_of_many_subclusters_needs_no_matrix_of_pairs():
+    x = rows(2500, 16)
+    m, most = peak(lambda: cluster.Birch(threshold=0.1).fit_arrays(x))  # each row a subcluster
+    assert len(m.subclusters_) == 2500 and most < 60e6
+    assert (m.labels_ == cluster.AgglomerativeClustering(n_clusters=3).fit_arrays(x).labels_).all()
