@@ -5,8 +5,8 @@ import tracemalloc
 
 import numpy as np
 
-from quarry.functions.distances import pairwise
-from quarry.operators import cluster, manifold, metrics
+from quarry.functions.distances import pairwise, top_eigen
+from quarry.operators import cluster, decomposition, manifold, meta, metrics, svm
 
 
 def rows(n, p=4, seed=0):
@@ -112,3 +112,14 @@ def test_birch_of_many_subclusters_needs_no_matrix_of_pairs():
     m, most = peak(lambda: cluster.Birch(threshold=0.1).fit_arrays(x))  # each row a subcluster
     assert len(m.subclusters_) == 2500 and most < 60e6
     assert (m.labels_ == cluster.AgglomerativeClustering(n_clusters=3).fit_arrays(x).labels_).all()
+
+
+def test_kernel_ridge_without_the_kernel_matrix():
+    x, y = rows(400, 5), rows(400, 1, 3)[:, 0]
+    whole = svm.KernelRidge(kernel="rbf").fit_arrays(x, y)
+    parts = svm.KernelRidge(kernel="rbf")
+    parts.DENSE_ROWS = 10
+    assert np.allclose(parts.fit_arrays(x, y).dual_, whole.dual_, atol=1e-9) and parts.max_rows > 10_256
+    big = rows(5200, 2)
+    m, most = peak(lambda: svm.KernelRidge(kernel="rbf", alpha=50.0).fit_arrays(big, big[:, 0]).predict_arrays(big))
+    assert len(m) == 5200 and most < 5200 * 5200 * 8 * 0.8
