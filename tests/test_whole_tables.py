@@ -123,3 +123,14 @@ def test_kernel_ridge_without_the_kernel_matrix():
     big = rows(5200, 2)
     m, most = peak(lambda: svm.KernelRidge(kernel="rbf", alpha=50.0).fit_arrays(big, big[:, 0]).predict_arrays(big))
     assert len(m) == 5200 and most < 5200 * 5200 * 8 * 0.8
+
+
+def test_kernel_pca_without_the_kernel_matrix():
+    x = rows(1500, 5) * np.array([5, 3, 2, 1, 1])
+    whole, parts = (decomposition.KernelPCA(n_components=3, kernel="rbf") for _ in range(2))
+    parts.DENSE_ROWS = 10
+    whole.fit_arrays(x), parts.fit_arrays(x)
+    assert np.allclose(whole.eigenvalues_, parts.eigenvalues_) and np.allclose(whole.transform_arrays(x), parts.transform_arrays(x), atol=1e-7)
+    assert parts.max_rows > 10_256
+    _, most = peak(lambda: parts.transform_arrays(rows(8000, 5)))
+    assert most < 8000 * 1500 * 8
