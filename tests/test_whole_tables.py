@@ -134,3 +134,14 @@ def test_kernel_pca_without_the_kernel_matrix():
     assert parts.max_rows > 10_256
     _, most = peak(lambda: parts.transform_arrays(rows(8000, 5)))
     assert most < 8000 * 1500 * 8
+
+
+def test_spectral_clustering_without_the_affinity_matrix():
+    x = np.vstack([rows(1000, 3) * 0.1, rows(1000, 3, 1) * 0.1 + 2])
+    for affinity in ("rbf", "nearest"):
+        m = cluster.SpectralClustering(n_clusters=2, n_init=2, affinity=affinity).fit_arrays(x)
+        assert len(set(m.labels_[:1000])) == len(set(m.labels_[1000:])) == 1 and m.labels_[0] != m.labels_[-1]
+    a = np.exp(-(pairwise(x, x) ** 2))
+    v, u = top_eigen(lambda b: a @ b, 2000, 4)
+    want = np.linalg.eigvalsh(a)[::-1][:4]
+    assert np.allclose(v, want) and np.allclose(a @ u, u * v, atol=1e-6) and m.max_rows > 10_256
