@@ -145,3 +145,19 @@ def test_spectral_clustering_without_the_affinity_matrix():
     v, u = top_eigen(lambda b: a @ b, 2000, 4)
     want = np.linalg.eigvalsh(a)[::-1][:4]
     assert np.allclose(v, want) and np.allclose(a @ u, u * v, atol=1e-6) and m.max_rows > 10_256
+
+
+def test_label_propagation_without_the_graph_matrix():
+    x = np.vstack([rows(1500, 3) * 0.2, rows(1500, 3, 1) * 0.2 + 2])
+    y = np.full(3000, -1.0)
+    y[[0, -1]] = 0, 1
+    for kernel in ("rbf", "knn"):
+        m, most = peak(lambda k=kernel: meta.LabelPropagation(gamma=5.0, kernel=k, max_iter=3).fit_arrays(x, y))
+        assert most < 3000 * 3000 * 8 * (1.6 if kernel == "rbf" else 2.2) and m.max_rows > 10_256
+    a = np.exp(-5 * pairwise(x, x) ** 2)
+    f = (y[:, None] == np.array([0.0, 1.0])).astype(float)
+    for _ in range(3):
+        f = a @ f / a.sum(axis=1, keepdims=True)
+        f, known = f / np.maximum(f.sum(axis=1, keepdims=True), 1e-300), y != -1
+        f[known] = (y[known][:, None] == np.array([0.0, 1.0])).astype(float)
+    assert np.allclose(meta.LabelPropagation(gamma=5.0, max_iter=3).fit_arrays(x, y).distributions_, f)
