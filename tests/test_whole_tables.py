@@ -161,3 +161,20 @@ def test_label_propagation_without_the_graph_matrix():
         f, known = f / np.maximum(f.sum(axis=1, keepdims=True), 1e-300), y != -1
         f[known] = (y[known][:, None] == np.array([0.0, 1.0])).astype(float)
     assert np.allclose(meta.LabelPropagation(gamma=5.0, max_iter=3).fit_arrays(x, y).distributions_, f)
+
+
+def test_label_spreading_without_the_graph_matrix():
+    x = rows(300, 3)
+    y = np.where(np.arange(300) % 3 == 0, (x[:, 0] > 0) * 1.0, -1.0)
+    given = (y[:, None] == np.array([0.0, 1.0])).astype(float)
+    near = np.argsort(pairwise(x, x) + np.diag(np.full(300, np.inf)), axis=1, kind="stable")[:, :7]
+    knn = np.zeros((300, 300))
+    knn[np.repeat(np.arange(300), 7), near.ravel()] = 1
+    rbf = np.exp(-20 * pairwise(x, x) ** 2) - np.eye(300)
+    for kernel, a in (("rbf", rbf), ("knn", np.maximum(knn, knn.T))):
+        d = np.sqrt(a.sum(axis=1))
+        f = given
+        for _ in range(4):
+            f = 0.2 * (a / np.outer(d, d)) @ f + 0.8 * given
+        m = meta.LabelSpreading(kernel=kernel, max_iter=4, tol=0).fit_arrays(x, y)
+        assert np.allclose(m.distributions_, f / f.sum(axis=1, keepdims=True)) and m.max_rows > 10_256
