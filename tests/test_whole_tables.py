@@ -6,7 +6,7 @@ import tracemalloc
 import numpy as np
 
 from quarry.functions.distances import pairwise, top_eigen
-from quarry.operators import cluster, decomposition, manifold, meta, metrics, svm
+from quarry.operators import cluster, decomposition, feature_selection, manifold, meta, metrics, svm
 
 
 def rows(n, p=4, seed=0):
@@ -178,3 +178,20 @@ def test_label_spreading_without_the_graph_matrix():
             f = 0.2 * (a / np.outer(d, d)) @ f + 0.8 * given
         m = meta.LabelSpreading(kernel=kernel, max_iter=4, tol=0).fit_arrays(x, y)
         assert np.allclose(m.distributions_, f / f.sum(axis=1, keepdims=True)) and m.max_rows > 10_256
+
+
+def test_spectral_embedding_without_the_graph_matrix():
+    x = rows(1500, 3)
+    m, most = peak(lambda: manifold.SpectralEmbedding().fit_arrays(x))
+    near = np.argsort(pairwise(x, x) + np.diag(np.full(1500, np.inf)), axis=1, kind="stable")[:, :10]
+    a = np.zeros((1500, 1500))
+    a[np.repeat(np.arange(1500), 10), near.ravel()] = 1
+    a = (a + a.T) / 2
+    deg = a.sum(axis=1)
+    f = m.embedding_  # generalised vectors of the Laplacian, with the smallest values but one
+    values = (f * (deg[:, None] * f - a @ f)).sum(axis=0) / (deg[:, None] * f * f).sum(axis=0)
+    want = np.linalg.eigvalsh(np.eye(1500) - a / np.sqrt(np.outer(deg, deg)))[1:3]
+    assert np.allclose(values, want, atol=1e-9) and np.allclose(deg[:, None] * f - a @ f, values * deg[:, None] * f, atol=1e-6)
+    assert m.max_rows > 10_256
+    _, most = peak(lambda: manifold.SpectralEmbedding().fit_arrays(rows(4000, 3)))
+    assert most < 4000 * 4000 * 8
