@@ -195,3 +195,16 @@ def test_spectral_embedding_without_the_graph_matrix():
     assert m.max_rows > 10_256
     _, most = peak(lambda: manifold.SpectralEmbedding().fit_arrays(rows(4000, 3)))
     assert most < 4000 * 4000 * 8
+
+
+def test_mutual_information_looks_only_around_each_point():
+    v, t = rows(3000, 1)[:, 0], rows(3000, 1, 1)[:, 0]
+    t[:500] = v[:500] * 2
+    v[500:520], t[500:520] = 3.0, -1.0  # equal points
+    v[520] = 1e6
+    d = np.maximum(np.abs(v[:, None] - v[None]), np.abs(t[:, None] - t[None]))
+    assert (feature_selection._kth_in_plane(v, t, 3) == np.partition(d, 3, axis=1)[:, 3]).all()
+    x, began = rows(60_000, 1), time.time()
+    whole = feature_selection.mutual_info_arrays(np.hstack([x, x[::-1]]), x[:, 0] + 1, False)
+    assert time.time() - began < 20
+    assert whole[1] == feature_selection.mutual_info_arrays(np.hstack([x, x[::-1]]), x[:, 0] + 1, False, only=1)[0]
