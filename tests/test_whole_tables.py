@@ -208,3 +208,12 @@ def test_mutual_information_looks_only_around_each_point():
     whole = feature_selection.mutual_info_arrays(np.hstack([x, x[::-1]]), x[:, 0] + 1, False)
     assert time.time() - began < 20
     assert whole[1] == feature_selection.mutual_info_arrays(np.hstack([x, x[::-1]]), x[:, 0] + 1, False, only=1)[0]
+
+
+def test_kernel_rows_are_made_one_by_one():
+    x = rows(2500, 3)
+    m = svm.SVC(gamma=0.5)
+    m._setup(x)
+    k = m._rows(x)
+    assert np.allclose(k.row(2100), m._k(x[2100:2101], x)[0], atol=1e-14) and k.height == 1
+    assert np.allclose(k.row(0), m._k(x[:1], x)[0], atol=1e-14) and sorted(k.held) == [0, 2100]
