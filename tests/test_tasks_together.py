@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from quarry.operators import cluster
+from quarry.operators import cluster, manifold
 from quarry.plans.together import Team, together
 
 
@@ -34,3 +34,11 @@ def test_affinity_propagation_in_tasks(spark):
         pairs = set(zip(whole.labels_.tolist(), parts.labels_.tolist(), strict=True))
         assert len(pairs) == len(whole.exemplars_)  # the same clusters
     assert cluster.AffinityPropagation().max_rows > 10_256
+
+
+def test_isomap_in_tasks(spark):
+    for x in (rows(300), np.repeat(rows(50, 3, 1), 6, axis=0)):  # and components of copies, which are bridged
+        whole, parts = manifold.Isomap().fit_arrays(x), in_tasks(manifold.Isomap(), x)
+        assert np.allclose(whole.embedding_, parts.embedding_, atol=1e-9) and np.allclose(whole.values_, parts.values_)
+        assert np.allclose(whole.transform_arrays(x[:40] + 0.1), parts.transform_arrays(x[:40] + 0.1), atol=1e-9)
+    assert manifold.Isomap().max_rows > 10_256
