@@ -42,3 +42,9 @@ def test_isomap_in_tasks(spark):
         assert np.allclose(whole.embedding_, parts.embedding_, atol=1e-9) and np.allclose(whole.values_, parts.values_)
         assert np.allclose(whole.transform_arrays(x[:40] + 0.1), parts.transform_arrays(x[:40] + 0.1), atol=1e-9)
     assert manifold.Isomap().max_rows > 10_256
+
+
+def test_tsne_in_tasks(spark):
+    x = rows(300)
+    whole, parts = manifold.TSNE(n_iter=30).fit_arrays(x), in_tasks(manifold.TSNE(n_iter=30), x)
+    assert np.allclose(whole.embedding_, parts.embedding_, atol=1e-6) and manifold.TSNE().max_rows > 10_256
