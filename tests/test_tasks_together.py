@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from quarry.operators import cluster, manifold
-from quarry.plans.together import Team, together
+from quarry.plans.together import Team, cholesky_solver, together
 
 
 def rows(n, p=4, seed=0):
@@ -48,3 +48,21 @@ def test_tsne_in_tasks(spark):
     x = rows(300)
     whole, parts = manifold.TSNE(n_iter=30).fit_arrays(x), in_tasks(manifold.TSNE(n_iter=30), x)
     assert np.allclose(whole.embedding_, parts.embedding_, atol=1e-6) and manifold.TSNE().max_rows > 10_256
+
+
+def test_locally_linear_embedding_in_tasks(spark):
+    x = np.random.default_rng(2).uniform(size=(700, 2))
+    x = np.column_stack([x * [3, 1], np.sin(3 * x[:, 0])])
+    whole, parts = manifold.LLE(n_neighbors=9).fit_arrays(x), in_tasks(manifold.LLE(n_neighbors=9), x)
+    assert np.allclose(whole.embedding_, parts.embedding_, atol=1e-5) and manifold.LLE().max_rows > 10_256
+    assert np.allclose(whole.transform_arrays(x[:9] + 0.01), parts.transform_arrays(x[:9] + 0.01), atol=1e-5)
+
+
+def test_tasks_solve_together(spark):
+    def fn(team: Team, a, b):
+        i, j = np.divmod(np.arange(a.size), len(a))
+        return cholesky_solver(team, i, j, a.ravel(), len(a), height=16)(b)
+
+    a, b = rows(150, 150), rows(150, 3, 1)
+    a = a @ a.T + np.eye(150)
+    assert np.allclose(a @ together(fn, a, b, pair_bytes=8), b, atol=1e-8)
