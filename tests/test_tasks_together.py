@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from quarry.operators import cluster, manifold
+from quarry.functions.distances import kernel
+from quarry.operators import cluster, manifold, svm
 from quarry.plans.together import Team, cholesky_solver, together
 
 
@@ -66,3 +67,28 @@ def test_tasks_solve_together(spark):
     a, b = rows(150, 150), rows(150, 3, 1)
     a = a @ a.T + np.eye(150)
     assert np.allclose(a @ together(fn, a, b, pair_bytes=8), b, atol=1e-8)
+
+
+def test_nu_svr_by_working_sets(spark):
+    x = rows(2100, 3)
+    y = np.sin(2 * x[:, 0]) + 0.3 * rows(2100, 1, 5)[:, 0]
+    parts = svm.NuSVR(nu=0.3).fit_arrays(x, y)
+    k = parts._rows(x)
+    k.full = len(x)
+    coef, b, epsilon = svm.solve_nu_svr(k, y, 1.0, 0.3, 1e-4)
+    m = parts._machine(x, coef, b)
+    assert abs(parts.fitted_epsilon_ - epsilon) < 1e-3 and np.abs(parts.predict_arrays(x) - parts._value(m, x)).max() < 2e-3
+
+
+def test_working_sets_stop_at_the_same_gap():
+    x, c = rows(400, 3), 1.0
+    y = np.sin(2 * x[:, 0]) + 0.3 * rows(400, 1, 5)[:, 0]
+    fn = lambda a, b: kernel(a, b, "rbf", 0.5)
+    for paired, p, start in ((False, np.concatenate([0.1 - y, 0.1 + y]), np.zeros(800)), (True, np.concatenate([-y, y]), np.tile(np.arange(400) < 100, 2) * c)):
+        a, g = svm.smo_in_tasks(Team(), x, p, c, start.astype(float), 1e-4, fn, paired, size=32)
+        sign = np.repeat([1.0, -1.0], 400)
+        f = fn(x, x) @ (a[:400] - a[400:])
+        assert np.allclose(g, np.concatenate([f, -f]) + p, atol=1e-9) and abs(a @ sign - start @ sign) < 1e-9 and (a >= 0).all() and (a <= c).all()
+        v, up, low = -sign * g, np.where(sign > 0, a < c, a > 0), np.where(sign > 0, a > 0, a < c)
+        for side in (sign > 0, sign < 0) if paired else (sign != 0,):
+            assert v[up & side].max() - v[low & side].min() < 1e-4
