@@ -92,3 +92,14 @@ def test_working_sets_stop_at_the_same_gap():
         v, up, low = -sign * g, np.where(sign > 0, a < c, a > 0), np.where(sign > 0, a > 0, a < c)
         for side in (sign > 0, sign < 0) if paired else (sign != 0,):
             assert v[up & side].max() - v[low & side].min() < 1e-4
+
+
+def test_svr_by_working_sets(spark):
+    x = rows(2100, 3)
+    y = np.sin(2 * x[:, 0]) + 0.3 * rows(2100, 1, 5)[:, 0]
+    parts = svm.SVR().fit_arrays(x, y)
+    k = parts._rows(x)
+    assert k.large
+    k.full = len(x)
+    m = parts._machine(x, *svm.solve_epsilon_svr(k, y, 1.0, 0.1, 1e-4))
+    assert np.abs(parts.predict_arrays(x) - parts._value(m, x)).max() < 2e-3
