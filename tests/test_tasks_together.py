@@ -103,3 +103,36 @@ def test_svr_by_working_sets(spark):
     k.full = len(x)
     m = parts._machine(x, *svm.solve_epsilon_svr(k, y, 1.0, 0.1, 1e-4))
     assert np.abs(parts.predict_arrays(x) - parts._value(m, x)).max() < 2e-3
+
+
+def test_active_rows_stop_at_the_same_gap():
+    x = rows(500, 3)
+    y = np.sin(2 * x[:, 0]) + 0.3 * rows(500, 1, 5)[:, 0]
+    fn = lambda a, b: kernel(a, b, "rbf", 0.5)
+    sign, c = np.repeat([1.0, -1.0], 500), np.tile(np.where(np.arange(500) % 5, 1.0, 3.0), 2)
+    for paired, p, start in ((False, np.concatenate([0.1 - y, 0.1 + y]), np.zeros(1000)), (True, np.concatenate([-y, y]), np.tile(np.arange(500) < 100, 2) * 1.0)):
+        a, g = svm.smo_in_tasks(Team(), x, p, c, start.copy(), 1e-4, fn, paired, size=32, held_bytes=8 * 100**2)  # 100 active rows
+        f = fn(x, x) @ (a[:500] - a[500:])
+        assert np.allclose(g, np.concatenate([f, -f]) + p, atol=1e-9) and abs(a @ sign - start @ sign) < 1e-9 and (a >= 0).all() and (a <= c).all() and (a > 1).any()
+        v, up, low = -sign * g, np.where(sign > 0, a < c, a > 0), np.where(sign > 0, a > 0, a < c)
+        for side in (sign > 0, sign < 0) if paired else (sign != 0,):
+            assert v[up & side].max() - v[low & side].min() < 1e-4
+
+
+def test_svr_makes_few_kernel_values(monkeypatch):
+    x = rows(4000, 16) / 4
+    y, made, old = 10 * x[:, 0] + 5 * x[:, 1] ** 2, [], svm.kernel
+    monkeypatch.setattr(svm, "kernel", lambda a, b, *rest: made.append(len(a) * len(b)) or old(a, b, *rest))
+    monkeypatch.setattr(svm, "together", lambda fn, *arrays, pair_bytes: fn(Team(), *arrays))
+    svm.SVR().fit_arrays(x, y)
+    assert sum(made) < 5 * 4000**2
+
+
+def test_svr_solves_copies_once(monkeypatch):
+    x = np.asfortranarray(np.tile(rows(300, 3), (7, 1)))  # as rows come from a table
+    y = np.sin(2 * x[:, 0]) + 0.3 * np.tile(rows(300, 1, 5)[:, 0], 7)
+    parts = svm.SVR().fit_arrays(x, y)
+    k = parts._rows(x)
+    k.full = len(x)
+    m = parts._machine(x, *svm.solve_epsilon_svr(k, y, 1.0, 0.1, 1e-4))
+    assert len(parts.machine_[1]) <= 300 and np.abs(parts.machine_[1]).max() > 1 and np.abs(parts.predict_arrays(x) - parts._value(m, x)).max() < 2e-3
